@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orizuru.llm import tokens, topn
+from orizuru.llm import encoding_repair, tokens, topn
 from orizuru.session import table
 
 
@@ -14,12 +14,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.board_leaders(table(spark, sf_dir, "leaderboards"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.garbled(spark, sf_dir).select("tab", "rec_id").distinct()
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.garbled(spark, sf_dir)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
