@@ -141,6 +141,17 @@ def _garble(text: str, k: int) -> str | None:
     return made if made != text else None
 
 
+def _disturb(text: str, k: int) -> str:
+    """A clean text with noise that is no wrong encoding: a look-alike letter, an invisible character."""
+    alike = {"a": "\u0430", "e": "\u0435", "o": "\u03bf", "p": "\u0440", "K": "\u039a", "A": "\u0391", "T": "\u03a4", "M": "\u039c"}
+    at = [i for i, c in enumerate(text) if c in alike]
+    if at and k % 3:
+        i = at[k % len(at)]
+        return text[:i] + alike[text[i]] + text[i + 1 :]
+    i = k % len(text)
+    return text[:i] + ("\u00ad", "\u200b", "\u2060")[k % 3] + text[i:]
+
+
 class Repairer:
     """The trained model with its validated margin; small enough to broadcast."""
 
@@ -171,6 +182,8 @@ class Repairer:
         for k, text in enumerate(clean):
             if not _PLAIN.fullmatch(text):
                 gains.append((best_repair(text, self.model)[0], False))
+            if text:
+                gains.append((best_repair(_disturb(text, k), self.model)[0], False))
             bad = _garble(text, k) if _NOT_ASCII.search(text) else None
             if bad and not _IMPOSSIBLE.search(bad):
                 gains.append((best_repair(bad, self.model)[0], True))
@@ -180,6 +193,7 @@ class Repairer:
             wrong = sum(1 for g, bad in gains if not bad and g > margin)
             return 2 * hit / max(1.0, 2 * hit + CLEAN_WEIGHT * wrong + sum(1 for g, bad in gains if bad and g <= margin))
 
+        self.curve = [(m, round(f1(m), 4)) for m in MARGINS]
         best = max(f1(m) for m in MARGINS)
         level = [m for m in MARGINS if f1(m) >= best - 1e-9]
         self.margin = level[len(level) // 2]
