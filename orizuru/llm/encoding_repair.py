@@ -237,20 +237,13 @@ def repair(df: DataFrame, keys: list[str], column: str, repairer: Repairer) -> D
     return df.select(*keys, F.col(column).alias("text")).mapInArrow(run, schema)
 
 
-def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Page titles and credited names as (tab, rec_id, text)."""
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page titles and credited names as (tab, rec_id, text), flattened once and written to the shared folder."""
     pages = table(spark, sf_dir, "seesaa_client").select(F.lit("seesaa_client").alias("tab"), F.col("page_id").cast("string").alias("rec_id"), F.col("title").alias("text"))
     names = flatten_credits(table(spark, sf_dir, "anime_metadata")).select(F.lit("anime_metadata").alias("tab"), F.col("work_id").alias("rec_id"), F.col("name").alias("text"))
-    return pages, names
+    return cut(pages.unionByName(names).distinct())
 
 
-def train_on(spark: SparkSession, sf_dir: str) -> Repairer:
-    pages, names = sources(spark, sf_dir)
-    return train(cut(pages.unionByName(names).select("text").distinct()))
-
-
-def garbled(spark: SparkSession, sf_dir: str, repairer: Repairer | None = None) -> DataFrame:
-    """(tab, rec_id, text, restored, chain) of all garbled texts, repeated rows once."""
-    repairer = repairer or train_on(spark, sf_dir)
-    pages, names = sources(spark, sf_dir)
-    return repair(pages.unionByName(names), ["tab", "rec_id"], "text", repairer).distinct()
+def garbled(texts: DataFrame) -> DataFrame:
+    """(tab, rec_id, text, restored, chain) of all garbled ones of (tab, rec_id, text), each once."""
+    return repair(texts, ["tab", "rec_id"], "text", train(cut(texts.select("text").distinct())))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orizuru.llm import encoding_repair, tokens, topn
+from orizuru.llm import encoding_repair, lookalike, tokens, topn
 from orizuru.session import table
 
 
@@ -14,12 +14,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.board_leaders(table(spark, sf_dir, "leaderboards"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.changed_cells(spark, sf_dir).select("tab", "rec_id", "field").distinct()
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.changed_cells(spark, sf_dir)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_repair.garbled(spark, sf_dir).select("tab", "rec_id").distinct()
+    return encoding_repair.garbled(encoding_repair.sources(spark, sf_dir)).select("tab", "rec_id").distinct()
 
 
 def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_repair.garbled(spark, sf_dir)
+    return encoding_repair.garbled(encoding_repair.sources(spark, sf_dir))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +35,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
