@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orizuru.llm import encoding_repair, lookalike, tokens, topn
+from orizuru.llm import encoding_repair, lookalike, names, tokens, topn
 from orizuru.session import table
 
 
@@ -22,6 +22,10 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.changed_cells(spark, sf_dir)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs(names.classes(names.strings(spark, sf_dir)))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.garbled(encoding_repair.sources(spark, sf_dir)).select("tab", "rec_id").distinct()
 
@@ -35,7 +39,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
