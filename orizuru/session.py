@@ -45,3 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` once in the shared folder, so that later stages and lost executors reread files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, factor: int = 3) -> DataFrame:
+    """`df` in enough partitions to keep all cores busy; inputs that have them already are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(factor * cores)
