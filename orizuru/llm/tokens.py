@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from orizuru.session import spread
+
 WINDOW = 6  # code points that decide a cut
 MASK = 63  # a cut every 64 code points on average
 LOOK = 3  # the scanner's alternatives look at most this far past a match ("'ll")
@@ -142,7 +144,7 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path:
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return spread(df.select(key, text)).mapInArrow(run, schema)
 
 
 def count_column(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -155,4 +157,4 @@ def count_column(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
             sizes = [len(encoder.encode(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], names=[key, "n_tokens"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return spread(df.select(key, text)).mapInArrow(run, schema)
