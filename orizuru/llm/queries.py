@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orizuru.llm import encoding_repair, lookalike, names, pii, tokens, topn
+from orizuru.llm import encoding_repair, lookalike, names, packing, pii, tokens, topn
 from orizuru.session import table
 
 
@@ -38,6 +38,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokens.count_column(table(spark, sf_dir, "documents")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_at").distinct()
 
@@ -47,7 +51,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p9_found": p9_found, "p9_redacted": p9_redacted}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
