@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orizuru.llm import encoding_repair, lookalike, names, packing, pii, tokens, topn
+from orizuru.llm import encoding_repair, linking, lookalike, names, packing, pii, tokens, topn
 from orizuru.session import table
 
 
@@ -26,6 +26,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs(names.classes(names.strings(spark, sf_dir)))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.match(spark, sf_dir).select("page_id", "anilist_id")
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.match(spark, sf_dir)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.garbled(encoding_repair.sources(spark, sf_dir)).select("tab", "rec_id").distinct()
 
@@ -51,7 +59,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_redacted": p9_redacted}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
