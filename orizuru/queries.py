@@ -1,53 +1,448 @@
-"""Registry of the core's queries and of the SQL they are compared with."""
+"""Registry of the core's queries; the SQL they are compared with is in `plans.oracles`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orizuru.operators import nested
+from orizuru.functions import text
+from orizuru.functions.expressions import deviation, percentile, rank_tier, rnd, score_tier, staff_tier, top_percent, z_tier
+from orizuru.operators import bias, era, export, history, matching, model, nested, staff, works
+from orizuru.plans import oracles
+from orizuru.plans.snapshot import bias_and_era
 from orizuru.session import table
+from orizuru.sources import adapters, wiki
 
-_WORK = ", ".join(f"'{r}'" for r in nested.WORK_ROLES)
-_EPISODE = ", ".join(f"'{r}'" for r in nested.EPISODE_ROLES)
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 
-P5_SQL = f"""
-WITH docs AS (SELECT DISTINCT work_id, CAST(staff AS JSON) AS doc FROM anime_metadata WHERE json_valid(staff) AND json_type(staff) = 'OBJECT'),
-eps AS (SELECT work_id, e.value AS ep FROM docs, json_each(CASE WHEN json_type(doc, '$.episodes') = 'ARRAY' THEN json_extract(doc, '$.episodes') ELSE '[]' END) e),
-roles AS (
-  SELECT work_id, CAST(0 AS BIGINT) AS ep_num, r.key AS role, r.value AS v, r.type AS t FROM docs, json_each(doc) r WHERE r.key IN ({_WORK})
-  UNION ALL
-  SELECT work_id, CAST(json_extract(ep, '$.ep_num') AS BIGINT), r.key, r.value, r.type FROM eps, json_each(ep) r WHERE r.key IN ({_EPISODE})),
-named AS (
-  SELECT work_id, ep_num, role, CAST(1 AS BIGINT) AS pos, json_extract_string(v, '$') AS name FROM roles WHERE t = 'VARCHAR'
-  UNION ALL
-  SELECT work_id, ep_num, role, CAST(0 AS BIGINT), k FROM (SELECT work_id, ep_num, role, unnest(json_keys(v)) AS k FROM roles WHERE t = 'OBJECT' AND role = 'genga')
-  UNION ALL
-  SELECT work_id, ep_num, role, CAST(1 AS BIGINT), json_extract_string(v, '$.name') FROM roles WHERE t = 'OBJECT' AND role <> 'genga' AND json_type(v, '$.name') = 'VARCHAR'
-  UNION ALL
-  SELECT work_id, ep_num, role, CAST(x.key AS BIGINT) + 1,
-    CASE WHEN x.type = 'VARCHAR' THEN json_extract_string(x.value, '$') WHEN x.type = 'OBJECT' AND json_type(x.value, '$.name') = 'VARCHAR' THEN json_extract_string(x.value, '$.name') END
-  FROM roles, json_each(CASE WHEN t = 'ARRAY' THEN v ELSE '[]' END) x)
-SELECT DISTINCT work_id, ep_num, role, pos, trim(name, ' ') AS name FROM named WHERE trim(name, ' ') <> ''
-"""
 
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.found_credits(table(spark, sf_dir, "anime_metadata"))
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return staff.records(adapters.credits(spark, d), adapters.works(spark, d))
 
-def p5_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten_credits(table(spark, sf_dir, "anime_metadata")).distinct()
 
+# --- nested documents
+@query
+def p5_found(spark, d):
+    return nested.found_credits(table(spark, d, "anime_metadata"))
 
-def p5_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten_episodes(table(spark, sf_dir, "anime_metadata"))
 
+@query
+def p5_credits(spark, d):
+    return nested.flatten_credits(table(spark, d, "anime_metadata")).distinct()
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_credits": p5_credits, "p5_episodes": p5_episodes}
+
+@query
+def p5_episodes(spark, d):
+    return nested.flatten_episodes(table(spark, d, "anime_metadata"))
+
+
+# --- bias decomposition
+@query
+def global_mean(spark, d):
+    return adapters.ratings(spark, d).agg(rnd(F.avg("score"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+def _fit5(spark, d):
+    return bias.fit(adapters.ratings(spark, d), max_iter=5, tol=None)
+
+
+@query
+def user_bias_k5(spark, d):
+    return _fit5(spark, d)["users"].select("user_id", rnd(F.col("b_u"), 6).alias("b_u"))
+
+
+@query
+def item_bias_k5(spark, d):
+    return _fit5(spark, d)["items"].select("item_id", rnd(F.col("b_i"), 6).alias("b_i"))
+
+
+@query
+def als_loss_k5(spark, d):
+    fitted = _fit5(spark, d)
+    return spark.createDataFrame([(fitted["losses"][-1],)], "v double").select(rnd(F.col("v"), 3).alias("loss"))
+
+
+@query
+def predict_rating(spark, d):
+    ratings = adapters.ratings(spark, d)
+    pairs = ratings.select("user_id", "item_id").distinct()
+    return bias.predict(pairs, bias.fit(ratings, max_iter=5, tol=None)).select("user_id", "item_id", rnd(F.col("predicted"), 5).alias("predicted"))
+
+
+# --- era standardisation, over biases of three rounds
+@query
+def year_stats(spark, d):
+    return bias_and_era(spark, d)["stats"].select("year", rnd(F.col("mu"), 6).alias("mu"), rnd(F.col("sigma"), 6).alias("sigma"), "n")
+
+
+@query
+def year_stats_sparse(spark, d):
+    w = adapters.works(spark, d).where("(year % 12 = 0 and ord % 40 = 0) or year = 2019").select("year", F.col("z").alias("b"))
+    return era.year_stats(w).select("year", rnd(F.col("mu"), 6).alias("mu"), rnd(F.col("sigma"), 6).alias("sigma"), "n", F.coalesce("w", F.lit(-1)).cast("int").alias("w"))
+
+
+@query
+def era_zscore(spark, d):
+    return bias_and_era(spark, d)["z"].select("work_id", rnd(F.col("z"), 5).alias("z"))
+
+
+@query
+def deviation_score(spark, d):
+    return adapters.works(spark, d).select("work_id", deviation(F.col("z")).alias("deviation_score"))
+
+
+@query
+def inverse_z(spark, d):
+    s = bias_and_era(spark, d)
+    return era.invert(adapters.works(spark, d).select("work_id", "year", F.lit(0.5).alias("z")), s["stats"], s["overall"]).select("work_id", rnd(F.col("b"), 5).alias("b"))
+
+
+@query
+def staff_leaderboard_all(spark, d):
+    """Ratings -> biases -> era z -> persons ranked: the whole chain of the engine."""
+    z = bias_and_era(spark, d)["z"].select("work_id", rnd(F.col("z"), 6).alias("z"))
+    w = adapters.works(spark, d).drop("z").join(z, "work_id", "left")
+    board = staff.leaderboard(staff.records(adapters.credits(spark, d), w), limit=1000)
+    return board.select("name", "works_count", "bayesian_rating", "career_cumulative_z", "rank", "total_count")
+
+
+# --- credits and history
+@query
+def credits_long(spark, d):
+    return adapters.credits(spark, d).select("work_id", "role", F.col("pos").cast("long").alias("pos"), "name", "rank", rnd(F.col("ep_ratio"), 6).alias("ep_ratio"))
+
+
+@query
+def work_people_distinct(spark, d):
+    return history.people(adapters.credits(spark, d))
+
+
+@query
+def staff_records(spark, d):
+    return _records(spark, d).select("name", "role", "work_id", "year", rnd(F.col("z"), 6).alias("z"), "rank", rnd(F.col("ep_ratio"), 6).alias("ep_ratio"))
+
+
+@query
+def history_past(spark, d):
+    h = history.past(adapters.credits(spark, d), adapters.works(spark, d))
+    return h.select("name", "year", F.col("n").cast("long").alias("n"), rnd(F.col("sum_z"), 6).alias("sum_z"), rnd(F.coalesce("max_z", F.lit(0.0)), 6).alias("max_z"))
+
+
+@query
+def genga_features(spark, d):
+    f = history.genga_features(adapters.credits(spark, d), adapters.works(spark, d))
+    return f.select("work_id", *[rnd(F.col(c), 6).alias(c) for c in history.GENGA_COLUMNS])
+
+
+@query
+def role_features(spark, d):
+    f = history.role_features(adapters.credits(spark, d), adapters.works(spark, d))
+    return f.select("work_id", "role", *[rnd(F.col(c), 6).alias(c) for c in history.ROLE_COLUMNS])
+
+
+@query
+def feature_matrix(spark, d):
+    f = history.feature_matrix(adapters.credits(spark, d), adapters.works(spark, d))
+    return f.select("work_id", "year", *[rnd(F.col(c), 6).alias(c) for c in history.FEATURES])
+
+
+# --- persons
+@query
+def staff_overall_ranks(spark, d):
+    r = staff.overall_ranks(staff.ratings(_records(spark, d)))
+    return r.select("name", F.col("n").alias("works"), rnd(F.col("rating"), 6).alias("rating"), rnd(F.col("z_sum"), 6).alias("z_sum"), "overall_rank", "cumulative_rank", "total_staff")
+
+
+@query
+def staff_role_ranks(spark, d):
+    r = staff.role_ranks(staff.ratings(_records(spark, d)))
+    return r.select("role", "name", F.col("n").alias("works"), rnd(F.col("rating"), 6).alias("rating"), rnd(F.col("z_sum"), 6).alias("z_sum"), "rating_rank", "cumulative_rank", "role_total")
+
+
+@query
+def leaderboard_director(spark, d):
+    return staff.leaderboard(_records(spark, d), "director", limit=100)
+
+
+@query
+def leaderboard_genga(spark, d):
+    return staff.leaderboard(_records(spark, d), "genga", limit=100)
+
+
+@query
+def leaderboard_cumulative(spark, d):
+    return staff.leaderboard(_records(spark, d), None, "cumulative", limit=100)
+
+
+@query
+def leaderboard_min_works(spark, d):
+    return staff.leaderboard(_records(spark, d), "sakkan", min_works=3, limit=100)
+
+
+@query
+def primary_role(spark, d):
+    return staff.primary_roles(_records(spark, d))
+
+
+@query
+def profile_stats(spark, d):
+    return staff.profile_stats(_records(spark, d))
+
+
+@query
+def best_works_top3(spark, d):
+    return staff.best_works(_records(spark, d))
+
+
+@query
+def trajectory(spark, d):
+    return staff.trajectory(_records(spark, d)).select("name", F.array_join("career", ",").alias("career"))
+
+
+@query
+def profile_role_stats(spark, d):
+    return staff.role_stats(_records(spark, d))
+
+
+@query
+def search_staff(spark, d):
+    return staff.search(_records(spark, d), "00012")
+
+
+@query
+def staff_index(spark, d):
+    return staff.index(_records(spark, d))
+
+
+@query
+def staff_head_counts(spark, d):
+    r = _records(spark, d)
+    return r.groupBy("role").agg(F.countDistinct("name").alias("persons")).unionByName(r.agg(F.countDistinct("name").alias("persons")).select(F.lit("all").alias("role"), "persons"))
+
+
+# --- tiers
+@query
+def work_tiers(spark, d):
+    w = works.ranks(adapters.works(spark, d), "z").join(adapters.works(spark, d), "work_id")
+    total = F.lit(adapters.works(spark, d).count())
+    dev = deviation(F.col("z"))
+    return w.select("work_id", dev.alias("deviation_score"), score_tier(dev).alias("tier"), rnd(percentile(F.col("z_rank"), total), 2).alias("percentile"))
+
+
+@query
+def staff_tiers(spark, d):
+    r = staff.role_ranks(staff.ratings(_records(spark, d)))
+    return r.select("role", "name", staff_tier(F.col("rating_rank"), F.col("role_total")).alias("rt"), staff_tier(F.col("cumulative_rank"), F.col("role_total")).alias("ct"))
+
+
+@query
+def rank_tiers(spark, d):
+    r = staff.overall_ranks(staff.ratings(_records(spark, d)))
+    return r.select("name", rank_tier(F.col("overall_rank"), F.col("total_staff")).alias("tier"))
+
+
+@query
+def z_tiers(spark, d):
+    return adapters.works(spark, d).select("work_id", rnd(top_percent(F.col("z")), 6).alias("top_percent"), z_tier(F.col("z")).alias("tier"))
+
+
+# --- works
+@query
+def work_ranks(spark, d):
+    return works.ranks(adapters.works(spark, d).withColumn("predicted_z", F.col("z") * 0.5))
+
+
+@query
+def comparison_core(spark, d):
+    s = bias_and_era(spark, d)
+    w = adapters.works(spark, d).withColumn("predicted_z", rnd(F.col("z") * 0.5 + F.col("raw_score") / 200, 6))
+    out = works.comparison(w, s["model"]["items"], s["stats"], s["model"]["mean"], s["overall"])
+    return out.drop("predicted_score")
+
+
+@query
+def search_works(spark, d):
+    return works.search(adapters.works(spark, d), " Cold P")
+
+
+@query
+def browse_filter_sort_page(spark, d):
+    w = adapters.works(spark, d).withColumn("deviation_score", deviation(F.col("z"))).withColumn("tier", score_tier(F.col("deviation_score")))
+    return works.browse(w, adapters.credits(spark, d), query="0001", era="1990s", page=2, size=10).select("work_id", "title", "year", "deviation_score", "tier")
+
+
+@query
+def works_by_title_ja(spark, d):
+    w = adapters.works(spark, d)
+    return works.browse(w, adapters.credits(spark, d), sort="title", descending=False, size=30).select("work_id", "title")
+
+
+@query
+def merge_works(spark, d):
+    w = adapters.works(spark, d).select("ord", "work_id", "title", "year")
+    new = w.where("ord % 7 = 0").select("ord", F.when(F.col("ord") % 2 == 0, F.col("work_id")).otherwise(F.concat(F.lit("n"), "work_id")).alias("work_id"), F.concat(F.lit("New "), "title").alias("title"), "year")
+    return works.merge(w, new)
+
+
+@query
+def append_ratings(spark, d):
+    r = adapters.ratings(spark, d)
+    return r.unionByName(r.where("score > 90")).groupBy("item_id").agg(F.count("*").alias("n"), rnd(F.sum("score"), 4).alias("total"))
+
+
+@query
+def first_wins_dedupe(spark, d):
+    c = adapters.credits(spark, d).select("name", "work_ord", "role", "pos")
+    return works.first_wins(c.withColumn("k", F.struct("work_ord", "role", "pos")).drop("k"), "name", ["work_ord", "role", "pos"]).select("name", "work_ord", "role")
+
+
+@query
+def uncollected_filter(spark, d):
+    e = table(spark, d, "anilist_client").select("anilist_id").distinct().withColumn("ord", F.col("anilist_id"))
+    return works.uncollected(e, table(spark, d, "anime_metadata").select("anilist_id", "bangumi_id"), 50).select("anilist_id")
+
+
+@query
+def person_works(spark, d):
+    """Works of each person with their roles, over the first 100 persons by name (a look-up of the client)."""
+    c = adapters.credits(spark, d)
+    return c.groupBy("name", "work_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("role"))).alias("roles"))
+
+
+# --- model
+def _trained(spark, d):
+    m = history.feature_matrix(adapters.credits(spark, d), adapters.works(spark, d)).cache()
+    return m, model.fit(m, trees=20)
+
+
+@query
+def gbdt_predictions(spark, d):
+    m, fitted = _trained(spark, d)
+    return model.predict(m, fitted).select("work_id", "z", "predicted_z")
+
+
+@query
+def regression_metrics(spark, d):
+    w = adapters.works(spark, d).withColumn("predicted_z", rnd(F.col("z") * 0.8 + F.col("year") / 1000, 6))
+    return model.metrics(w)
+
+
+@query
+def shap_top_factors(spark, d):
+    m, fitted = _trained(spark, d)
+    return model.top_factors(model.attribute(m, fitted))
+
+
+@query
+def feature_importances(spark, d):
+    m, fitted = _trained(spark, d)
+    return model.importances(fitted, spark)
+
+
+@query
+def predict_custom(spark, d):
+    """A planned work: its features from the staff's earlier works, its prediction and score."""
+    c, w = adapters.credits(spark, d), adapters.works(spark, d)
+    m, fitted = _trained(spark, d)
+    s = bias_and_era(spark, d)
+    team = c.groupBy("role").agg(F.min("name").alias("name")).select("role", F.lit(1).alias("pos"), "name", F.lit(1.0).alias("ep_ratio"))
+    row = history.features_of(team, 2015, c, w).withColumn("work_id", F.lit("custom")).withColumn("year", F.lit(2015))
+    out = era.invert(model.predict(row, fitted), s["stats"], s["overall"], "predicted_z")
+    return out.select("work_id", "year", rnd(F.col("predicted_z"), 3).alias("predicted_z"), rnd(F.greatest(F.lit(10.0), F.least(F.lit(100.0), F.col("b") + s["model"]["mean"])), 1).alias("predicted_score"))
+
+
+@query
+def custom_features(spark, d):
+    c, w = adapters.credits(spark, d), adapters.works(spark, d)
+    team = c.groupBy("role").agg(F.min("name").alias("name")).select("role", F.lit(1).alias("pos"), "name", F.lit(0.5).alias("ep_ratio"))
+    return history.features_of(team, 2000, c, w).select(*[rnd(F.col(f), 6).alias(f) for f in history.FEATURES])
+
+
+# --- texts and pages
+@query
+def page_lines(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    return lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.trim("line").alias("line")).where("line <> ''")
+
+
+@query
+def episode_credits(spark, d):
+    pages = table(spark, d, "seesaa_client").select("page_id", F.concat(F.lit("<title>"), F.coalesce("title", F.lit("")), F.lit('</title><div class="user-area">第1話<br>原画：'), F.coalesce(F.regexp_extract("staff", '"director": \\["([^"]+)"', 1), F.lit("")), F.lit("</div>")).alias("html")).distinct()
+    return wiki.credits(pages)
+
+
+@query
+def animator_participation(spark, d):
+    c = adapters.credits(spark, d).where("role = 'genga'")
+    rows = c.select(F.col("work_ord").alias("page_id"), F.lit(12).alias("total_episodes"), F.col("rank").cast("int").alias("ep_num"), "pos", "name")
+    return wiki.participation(rows)
+
+
+@query
+def text_forms(spark, d):
+    docs = table(spark, d, "part").select("p_partkey", "p_name")
+    return docs.select("p_partkey", text.search_form(F.col("p_name")).alias("search"), text.title_form(F.col("p_name")).alias("title"), text.client_form(F.col("p_name")).alias("client"), text.candidate_form(F.col("p_name")).alias("candidate"), F.array_join(text.subtitles(F.col("p_name")), " ").alias("subtitles"))
+
+
+@query
+def title_match_best(spark, d):
+    q = table(spark, d, "seesaa_client").where("title is not null").select(F.col("page_id").alias("q_id"), F.col("title").alias("query")).distinct()
+    t = table(spark, d, "anilist_client").where("title_native is not null").select(F.col("anilist_id").alias("t_id"), F.col("title_native").alias("title")).distinct()
+    return matching.best_titles(q, t)
+
+
+@query
+def candidate_scoring(spark, d):
+    w = adapters.works(spark, d)
+    q = w.select(F.col("ord").alias("q_id"), "title", "year", (F.col("ord") % 30).cast("int").alias("episodes"), F.when(F.col("ord") % 5 == 0, "MOVIE").otherwise("TV").alias("format"))
+    c = w.select(F.col("ord").alias("c_ord"), F.col("ord").alias("c_id"), F.col("title").alias("c_name"), F.col("title_en").alias("c_name_cn"), F.concat(F.col("year").cast("string"), F.lit("-04-01")).alias("c_date"), (F.col("ord") % 26).cast("int").alias("c_eps"))
+    return matching.score_candidates(q.join(c, F.floor(F.col("q_id") / 8) == F.floor(F.col("c_id") / 8)))
+
+
+@query
+def relation_roles(spark, d):
+    names = list(matching.RELATION_ROLES)
+    c = adapters.credits(spark, d)
+    rel = F.element_at(F.array(*map(F.lit, [*names, "其他"])), ((F.col("rank").cast("int") + F.col("work_ord") + F.col("pos")) % (len(names) + 1) + 1).cast("int"))
+    rows = c.select(F.col("work_ord").alias("subject_id"), (F.col("pos") * 10 + F.length("role")).alias("o"), "name", rel.alias("relation"), "role")
+    rows = rows.withColumn("ord", F.col("o") * 100 + F.ascii("role") % 100).drop("o", "role")
+    first = rows.groupBy("subject_id", "name", "ord").agg(F.min("relation").alias("relation"))
+    return matching.relation_roles(first).select("subject_id", "role", "name", "ep_ratio")
+
+
+# --- exports
+@query
+def export_leaderboards(spark, d):
+    return export.boards(_records(spark, d))
+
+
+@query
+def export_works(spark, d):
+    out = export.works(_records(spark, d), adapters.works(spark, d), adapters.credits(spark, d))
+    return out.withColumn("director", F.array_join("director", ",")).withColumn("genga", F.array_join("genga", ","))
+
+
+@query
+def export_profiles(spark, d):
+    return export.profiles(_records(spark, d))
+
+
+@query
+def export_summary(spark, d):
+    return export.summary(adapters.works(spark, d), _records(spark, d))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return oracles.all_sql()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,17 @@ def spread(df: DataFrame, factor: int = 3) -> DataFrame:
     """`df` in enough partitions to keep all cores busy; inputs that have them already are not moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(factor * cores)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context; they may run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_orizuru_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    out = pathlib.Path(tempfile.mkdtemp(prefix="orizuru-")) / "orizuru.zip"
+    with zipfile.ZipFile(out, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(out))
+    sc._orizuru_shipped = True
