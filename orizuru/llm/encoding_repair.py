@@ -31,6 +31,8 @@ from orizuru.session import cut, table
 #: Encodings that Japanese texts are written in, and those they are wrongly read with.
 RIGHT = ("utf-8", "cp932", "euc_jp")
 WRONG = ("windows-1252", "mac_roman", "koi8_r", "cp850", "cp437", "cp1251", "cp866", "cp932", "euc_jp", "gb18030", "big5", "euc_kr")
+#: Those of them whose wrong readings may give ideographs or kana.
+WIDE = ("cp932", "euc_jp", "gb18030", "big5", "euc_kr")
 VALIDATION_ROWS = 800
 COMMON = 3e-5  # a character of this share of the corpus is common
 CLEAN_WEIGHT = 3.0  # clean texts that need a search, for each garbled one
@@ -73,12 +75,20 @@ def _chains() -> list[tuple[str, str]]:
     return [(w, r) for r in RIGHT for w in WRONG if w != r]
 
 
+def _starts(text: str, wrong: str) -> list[int]:
+    """Where a wrong reading may begin. One that gives letters and signs begins where a run of them does; one that
+    gives ideographs or kana can't be told from the clean text before it, so it may begin at each of them."""
+    places = [m.start() for m in _NOT_ASCII.finditer(text) if m.start()]
+    if wrong not in WIDE:
+        places = [i for i in places if text[i - 1] < "\x80" or to_bytes(text[i - 1], wrong) is None]
+    return [0, *places]
+
+
 def candidates(text: str) -> dict[str, tuple[str, ...]]:
     """Texts that some chain makes of `text` or of a tail of it, with the chain's encodings."""
     found: dict[str, tuple[str, ...]] = {}
-    starts = [0] + [m.start() for m in _NOT_ASCII.finditer(text) if m.start()]
     for wrong in WRONG:
-        for at in starts:
+        for at in _starts(text, wrong):
             raw = to_bytes(text[at:].replace("\ufffd", "?"), wrong)
             if raw is None or raw.isascii():
                 continue
@@ -105,8 +115,9 @@ def best_repair(text: str, model: charlm.CharModel) -> tuple[float, str | None,
     options = candidates(text)
     if not options:
         return 0.0, None, None
-    now = model.score(text)
-    gains = {t: model.score(t) - now - (TAIL_COST if t[:1] == text[:1] else 0) for t in options}
+    made = sorted(options)
+    now, *scores = model.scores([text, *made]).tolist()
+    gains = {t: s - now - (TAIL_COST if t[:1] == text[:1] else 0) for t, s in zip(made, scores)}
     best = max(gains, key=lambda t: (gains[t], t))
     return (gains[best], best, ">".join(options[best])) if gains[best] > 0 else (0.0, None, None)
 
