@@ -176,7 +176,7 @@ def _evolve_shards(items: DataFrame, shards: int, capacity: int, generations: in
     sharded = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long"))
     rows = sharded.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "doc_id", "piece", "size", F.lit(0).alias("bin"), F.lit(0).alias("visitor"))
     for epoch in range(EPOCHS):
-        rows = cut(rows.groupBy("shard", "island").applyInPandas(_island(capacity, epoch, generations), _ROWS))
+        rows = cut(rows.repartition(min(shards * ISLANDS, 2000), "shard", "island").groupBy("shard", "island").applyInPandas(_island(capacity, epoch, generations), _ROWS))
         if epoch + 1 < EPOCHS:  # the elite visits the next island
             visit = rows.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")).withColumn("visitor", F.lit(1))
             rows = rows.unionByName(visit)
