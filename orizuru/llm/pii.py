@@ -46,6 +46,8 @@ ADDRESS = re.compile(
     rf"|[{_K}]{{2,4}}?市[{_K}]{{1,4}}?[区县][{_K}]{{1,8}}?[路街道巷]\d+号(?:\d+(?:单元|栋|楼|室|号))*"
 )
 NUMBER = re.compile(r"(?<![0-9０-９A-Za-z.,/:+＋-])(?:[A-Z]{2} ?)?(?:[+＋]?[(（]?)\d(?:[ .．\-－‐‑–−ー()（）]{0,2}\d){6,19}(?: ?[A-DXx](?![A-Za-z]))?(?!\d)")
+#: Identity numbers that begin with two letters; their form is evidence enough with six or seven digits.
+LETTERED = re.compile(r"(?<![0-9０-９A-Za-z.,/:+＋-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![0-9０-９A-Za-z])|[A-Z]{2}\d{7}(?![0-9０-９A-Za-z]))")
 _WORD = r"[A-Z][a-zà-ÿ]+|[A-Z]{2,}(?![a-z])"
 NAME = re.compile(
     rf"(?:{_WORD})(?:,? (?:[A-Z]\. )?|, )(?:{_WORD})(?: [A-Z]\.)?"
@@ -92,6 +94,8 @@ def candidates(text: str) -> list[Span]:
                 start, body = start + 1, body[1:]
         if sum(c.isdigit() for c in body) >= 9:
             take(start, m.end(), "number")
+    for m in LETTERED.finditer(text):
+        take(m.start(), m.end(), "number")
     for m in NAME.finditer(text):
         start, end = m.span()
         cut = BEFORE_NAME.match(text[start:end])

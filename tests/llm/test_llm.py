@@ -310,6 +310,21 @@ def test_field_learns_from_silver(spark):
     assert sum("[NAME]" in (out[i] or "") for i, t in enumerate(texts) if t in lone) >= 0.9 * len([t for t in texts if t in lone])
 
 
+def test_lettered_identity_numbers(spark):
+    for number in ("QQ671595C", "QQ 84 43 55 A", "ZZ9211467"):
+        text = f"ID no. {number}. Call me."
+        assert (7, 7 + len(number), "number") in pii.candidates(text)
+    assert pii.candidates("ABZZ9211467 ZZ92114678 QQ671595Z 921146") == []
+    texts = [t for i in range(600) for t in (f"マイナンバーは ZZ{1000000 + 7919 * i} です。", f"My SSN/NI number is QQ {i % 90 + 10} 43 {(7 * i) % 90 + 10} A. ok", f"My SSN/NI number is QQ{i % 90 + 10}1595C. ok", f"Build ZZ{2000000 + 104729 * i % 900000} was sold out.")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    field = pii.train(docs)
+    for number in ("QQ671595C", "QQ 84 43 55 A", "ZZ9211467"):
+        text = f"My SSN/NI number is {number}. ok"
+        assert field.items(text) == [(20, 20 + len(number), "id_number")]
+        assert pii.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), field).first().text == "My SSN/NI number is [ID_NUMBER]. ok"
+    assert field.items("Build ZZ2104729 was sold out.") == []  # the field decides, not the form
+
+
 def test_char_model_scores_agree():
     counts = np.random.default_rng(0).integers(0, 50, charlm.PAIRS + charlm.POINTS)
     model = charlm.CharModel(counts)
