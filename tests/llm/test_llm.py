@@ -246,6 +246,15 @@ def test_spellings_of_planted_persons(spark):
     assert all(a < b for a, b in got)
 
 
+def test_links_do_not_hang_on_row_counts(spark):
+    rows = [(f"{g} {f}", 60) for g in ("Alexander", "Eleanor", "Robert") for f in ("Gigihiro", "Nukayuri", "Merogomo")]
+    rows += [("Robert Nupozata", 42), ("R. Nupozata", 40), ("E. Gigihiro", 55), ("Eleanor Zotepagu", 140), ("Eleanor Zottepagu", 30)]
+    rows += [("Robert Haposuke", 50), ("Ronald Haposuke", 48), ("R. Haposuke", 45), ("高木文織", 133), ("高木織文", 29)]
+    got = {(r.name_a, r.name_b) for r in names.pairs(names.classes(spark.createDataFrame(rows, "s string, n bigint"))).collect()}
+    assert {("R. Nupozata", "Robert Nupozata"), ("E. Gigihiro", "Eleanor Gigihiro"), ("Eleanor Zotepagu", "Eleanor Zottepagu"), ("高木文織", "高木織文")} <= got
+    assert not any("Haposuke" in a for a, _ in got)  # two full names: the initial is no evidence
+
+
 def test_names_of_nothing(spark):
     assert names.pairs(names.classes(spark.createDataFrame([], "s string, n bigint"))).count() == 0
 
