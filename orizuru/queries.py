@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orizuru.functions import text
 from orizuru.functions.expressions import deviation, percentile, rank_tier, rnd, score_tier, staff_tier, top_percent, z_tier
 from orizuru.operators import bias, era, export, history, matching, model, nested, staff, works
-from orizuru.plans import oracles
+from orizuru.plans import oracles, snapshot
 from orizuru.plans.snapshot import bias_and_era
 from orizuru.session import table
 from orizuru.sources import adapters, wiki
@@ -320,7 +320,7 @@ def person_works(spark, d):
 # --- model
 def _trained(spark, d):
     m = history.feature_matrix(adapters.credits(spark, d), adapters.works(spark, d)).cache()
-    return m, model.fit(m, trees=20)
+    return m, model.fit(m)
 
 
 @query
@@ -329,6 +329,13 @@ def gbdt_predictions(spark, d):
     return model.predict(m, fitted).select("work_id", "z", "predicted_z")
 
 
+@query
+def converged_predictions(spark, d):
+    """The whole chain over converged biases: ratings -> biases -> era z -> features -> model of 100 trees."""
+    s = snapshot.fit(adapters.ratings(spark, d), adapters.works(spark, d), adapters.credits(spark, d))
+    return model.predict(s.matrix, s.model).select("work_id", "z", "predicted_z")
+
+
 @query
 def regression_metrics(spark, d):
     w = adapters.works(spark, d).withColumn("predicted_z", rnd(F.col("z") * 0.8 + F.col("year") / 1000, 6))

@@ -242,3 +242,20 @@ def test_snapshot_end_to_end(spark):
     assert s.matrix.count() == 40 and s.records.count() == 80
     assert all(math.isfinite(r.predicted_z) for r in model.predict(s.matrix, s.model).collect())
     assert export.summary(s.works, s.records).first().total_works == 40
+
+
+def test_model_queries_do_the_whole_job(spark, tables, monkeypatch):
+    from orizuru import queries
+
+    fitted, _, scored, credits = tables
+    ratings = spark.createDataFrame(RATINGS, "user_id bigint, item_id string, score double")
+    for name, rows in (("ratings", ratings), ("works", scored), ("credits", credits)):
+        monkeypatch.setattr(queries.adapters, name, lambda *_, rows=rows: rows)
+    assert queries._trained(spark, "")[1].getNumTrees == 100
+    kept = {}
+    fit = queries.snapshot.fit
+    monkeypatch.setattr(queries.snapshot, "fit", lambda *a: kept.setdefault("s", fit(*a)))
+    got = {r.work_id: r.z for r in queries.queries()["converged_predictions"](spark, "").collect()}
+    assert kept["s"].model.getNumTrees == 100 and len(kept["s"].biases["losses"]) == len(fitted["losses"]) > 3
+    want = {r.work_id: r.z for r in scored.where("z is not null").collect()}
+    assert set(got) == set(want) and all(got[w] == pytest.approx(want[w], abs=1e-9) for w in want)
