@@ -1,7 +1,9 @@
-"""Smoothed character bigram models over all texts of a corpus, in tables of fixed size.
+"""Smoothed character bigram models over all texts of a corpus, in hashed tables sized by the data.
 
 Counting is distributed: each task counts into hashed buckets, the buckets are summed by one aggregation, and at most
-`PAIRS + POINTS` rows (about 0.33 million, whatever the corpus) reach the driver and are broadcast as arrays of 1.3 MB.
+`MOST_PAIRS + POINTS` rows reach the driver, whatever the corpus. The table of pairs is then folded to the smallest
+power of two of which at most `LOAD` is used, so that collisions stay rare while a small corpus has a small model;
+the largest, of 16 MB, is the bound of what is broadcast. `CharModel.load` tells how full it is.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAIRS = 1 << 18
+LEAST_PAIRS, MOST_PAIRS = 1 << 16, 1 << 22
+LOAD = 0.25
 POINTS = 1 << 16
 EDGE = 2  # stands before and after each text
 
@@ -26,63 +29,100 @@ def points(text: str) -> np.ndarray:
     return out
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def join(texts: list[str]) -> np.ndarray:
+    """Code points of many texts, an edge before, between and after them."""
+    return points("\x02".join(t.replace("\x02", "\x03") if "\x02" in t else t for t in texts))
+
+
+def _pair(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return (((mixed >> np.uint64(31)) ^ (mixed >> np.uint64(47))) & np.uint64(PAIRS - 1)).astype(np.int64)
+    mixed ^= mixed >> np.uint64(16)
+    return ((mixed >> np.uint64(31)) & np.uint64(size - 1)).astype(np.int64)
+
+
+class Counts:
+    """How often each code point and each hashed pair of code points occurs, and by which code each pair begins."""
+
+    def __init__(self):
+        self.points = np.zeros(POINTS, np.int64)
+        self.pairs = np.zeros(MOST_PAIRS, np.int64)
+        self.begin = np.zeros(MOST_PAIRS, np.uint16)
+
+    def add(self, texts: list[str]) -> None:
+        if not texts:
+            return
+        codes = np.minimum(join(texts), POINTS - 1)
+        at, place, n = np.unique(_pair(codes[:-1], codes[1:], MOST_PAIRS), return_index=True, return_counts=True)
+        self.pairs[at] += n
+        self.begin[at] = codes[place]
+        self.points += np.bincount(codes, minlength=POINTS)
+
+    def rows(self) -> pa.RecordBatch:
+        """What is counted, as (bucket, begin, n); points have the buckets after those of the pairs."""
+        at, single = np.flatnonzero(self.pairs), np.flatnonzero(self.points)
+        begin = np.concatenate([self.begin[at], np.zeros(len(single))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, single + MOST_PAIRS])), pa.array(begin), pa.array(np.concatenate([self.pairs[at], self.points[single]]))], names=["bucket", "begin", "n"])
+
+    def less(self, other: Counts) -> Counts:
+        out = Counts()
+        out.points, out.pairs, out.begin = self.points - other.points, self.pairs - other.pairs, self.begin
+        return out
 
 
 class CharModel:
-    """Log probability of texts under interpolated bigram and unigram counts."""
+    """Log probability of texts under bigram counts, interpolated with unigrams by the number of different followers."""
 
-    def __init__(self, counts: np.ndarray, alpha: float = 4.0):
+    def __init__(self, counts: Counts):
         # one off each count: what a scored text itself brought to the training must not speak for it
-        self.pairs = np.maximum(counts[:PAIRS].astype(np.float32) - 1, 0)
-        self.points = np.maximum(counts[PAIRS:].astype(np.float32) - 1, 0)
-        self.total = float(self.points.sum()) + POINTS * 0.05
-        self.alpha = alpha
+        pairs = np.maximum(counts.pairs - 1, 0)
+        kinds = np.bincount(counts.begin[counts.pairs > 0], minlength=POINTS)
+        while len(pairs) > LEAST_PAIRS and np.count_nonzero(pairs.reshape(2, -1).sum(0)) <= LOAD * len(pairs) / 2:
+            pairs = pairs.reshape(2, -1).sum(0)  # a bucket of the half table holds two of the whole one
+        self.pairs = pairs.astype(np.float32)
+        self.load = np.count_nonzero(pairs) / len(pairs)
+        self.points = np.maximum(counts.points - 1, 0).astype(np.float32)
+        self.total = float(self.points.sum(dtype=np.float64)) + POINTS * 0.05
+        self.own = (np.maximum(kinds, 1) + 3).astype(np.float32)
+        self._low = ((self.points + 0.05) / self.total).astype(np.float32)
+        self._before = np.log(self.points + self.own).astype(np.float32)
+
+    def steps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Log probability of each code of `b` after that of `a`; all codes from POINTS on share one place."""
+        a, b = np.minimum(a, POINTS - 1), np.minimum(b, POINTS - 1)
+        return np.log(self.pairs[_pair(a, b, len(self.pairs))] + self.own[a] * self._low[b]) - self._before[a]
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of each code after the first, given the one before."""
-        a, b = codes[:-1], codes[1:]
-        low = np.where(b < POINTS, self.points[np.minimum(b, POINTS - 1)], 0) + 0.05
-        before = np.where(a < POINTS, self.points[np.minimum(a, POINTS - 1)], 0)
-        return np.log((self.pairs[_pair(a, b)] + self.alpha * low / self.total) / (before + self.alpha))
+        return self.steps(codes[:-1], codes[1:])
 
     def score(self, text: str) -> float:
         return float(self.logs(points(text)).sum())
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """`score` of each text, all at once."""
-        codes = points("\x02".join(t.replace("\x02", "\x03") for t in texts))  # \x02 is EDGE
+        codes = join(texts)
         logs = self.logs(codes)
         ends = np.flatnonzero(codes[1:] == EDGE)
         return np.add.reduceat(logs, np.concatenate([[0], ends[:-1] + 1]))
 
-    def share(self, text: str) -> float:
-        """The share of the corpus of the text's rarest character."""
-        codes = points(text)
-        return float(np.where(codes < POINTS, self.points[np.minimum(codes, POINTS - 1)], 0).min()) / self.total
+
+def collect(parts: DataFrame) -> Counts:
+    """The sums of (bucket, begin, n); where pairs share a bucket one of their begins stands for all."""
+    table = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("begin").alias("begin")).toArrow()
+    at, n = table.column("bucket").to_numpy(), table.column("n").to_numpy()
+    counts, pair = Counts(), at < MOST_PAIRS
+    counts.pairs[at[pair]], counts.points[at[~pair] - MOST_PAIRS] = n[pair], n[~pair]
+    counts.begin[at[pair]] = table.column("begin").to_numpy()[pair]
+    return counts
 
 
-def count(df: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of pairs and points of all texts of a column, each row once."""
+def count(df: DataFrame, text: str = "text") -> Counts:
+    """Counts of all texts of a column, each row once; null and empty texts count nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(PAIRS + POINTS, np.int64)
+        counts = Counts()
         for batch in batches:
-            whole = [points(t) for t in batch.column(0).to_pylist() if t]
-            if not whole:
-                continue
-            codes = np.concatenate(whole)
-            a, b = codes[:-1], codes[1:]
-            inside = ~((a == EDGE) & (b == EDGE))
-            np.add.at(counts, _pair(a[inside], b[inside]), 1)
-            np.add.at(counts, PAIRS + np.minimum(codes, POINTS - 1).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
-
-    rows = df.select(text).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = rows.toPandas()
-    counts = np.zeros(PAIRS + POINTS, np.int64)
-    counts[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
-    return counts
+            counts.add([t for t in batch.column(0).to_pylist() if t])
+        yield counts.rows()
+
+    return collect(df.select(text).mapInArrow(run, "bucket bigint, begin int, n bigint"))

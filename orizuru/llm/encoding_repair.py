@@ -4,10 +4,16 @@ A character model is trained on the texts of the corpus, first on all that hold
 without those the first model rejects. Every candidate chain (encode with the wrong encoding, decode with the right
 one), over the whole text and over each of its tails, is scored against the text as it stands; the likeliest is
 accepted if it gains more than a margin. The margin is validated on clean texts garbled on purpose (at most
-`VALIDATION_ROWS` of them): the value with the best F1 is taken.
+`VALIDATION_ROWS` of them, chosen by hash): the value with the best F1 is taken.
 
-Texts with characters that only a failed decoding leaves (U+FFFD, C1 controls, private use) are affected in any case;
-where no chain explains them, their original is null.
+All tails of a text are scored at once: a chain turns the text into one string of bytes, each byte is decoded as if a
+character began there and points to the byte after it, and sums along the pointers (by doubling) give the score of
+every tail. The cost is n log n in the length of a text, so there is no limit to it, and the whole runs over the
+arrays of many texts at a time.
+
+Characters that only a failed decoding leaves (U+FFFD, C1 controls, private use) have lost their bytes for good. For
+these the text without them is one more candidate: where it is the likeliest beyond the margin, the text is affected
+and its original null.
 
 Defined results: null and empty texts are clean; pure ASCII texts are clean; a text of any length is scored whole;
 records with several garbled names come once; staff that isn't valid JSON gives no names.
@@ -33,16 +39,16 @@ RIGHT = ("utf-8", "cp932", "euc_jp")
 WRONG = ("windows-1252", "mac_roman", "koi8_r", "cp850", "cp437", "cp1251", "cp866", "cp932", "euc_jp", "gb18030", "big5", "euc_kr")
 #: Those of them whose wrong readings may give ideographs or kana.
 WIDE = ("cp932", "euc_jp", "gb18030", "big5", "euc_kr")
-VALIDATION_ROWS = 800
-COMMON = 3e-5  # a character of this share of the corpus is common
-CLEAN_WEIGHT = 3.0  # clean texts that need a search, for each garbled one
+TWICE = ("windows-1252", "utf-8")  # a text may be read wrongly twice by this chain
+VALIDATION_ROWS = 4000
+SURE = 20.0  # a gain beyond which a sampled text is no clean one
 TAIL_COST = 3.0  # a wrong reading that begins inside a text is the rarer case
-MARGINS = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0, 12.0, 15.0, 20.0, 25.0)
-MAX_TAIL_STARTS = 4096  # a text longer than this is cut into pieces of this length that are repaired one by one
+FIRST_MARGIN = 5.0  # of the first model: a clean text that it leaves out does no harm
+MARGINS = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 15.0, 20.0, 25.0)
+LOST = 0xFFFD
 
 _IMPOSSIBLE = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]")
 _NOT_ASCII = re.compile("[^\x00-\x7f]")
-_PLAIN = re.compile("[\x00-\x7f\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]*")
 
 
 @lru_cache(maxsize=1)
@@ -58,7 +64,8 @@ def _byte_of() -> dict[str, int]:
 
 
 def to_bytes(text: str, wrong: str) -> bytes | None:
-    """The bytes that give `text` when read with `wrong`."""
+    """The bytes that give `text` when read with `wrong`; lost characters become question marks."""
+    text = text.replace("\ufffd", "?")
     if wrong == "windows-1252":
         known = _byte_of()
         try:
@@ -71,76 +78,222 @@ def to_bytes(text: str, wrong: str) -> bytes | None:
         return None
 
 
-def _chains() -> list[tuple[str, str]]:
-    return [(w, r) for r in RIGHT for w in WRONG if w != r]
-
-
-def _starts(text: str, wrong: str) -> list[int]:
-    """Where a wrong reading may begin. One that gives letters and signs begins where a run of them does; one that
-    gives ideographs or kana can't be told from the clean text before it, so it may begin at each of them."""
-    places = [m.start() for m in _NOT_ASCII.finditer(text) if m.start()]
-    if wrong not in WIDE:
-        places = [i for i in places if text[i - 1] < "\x80" or to_bytes(text[i - 1], wrong) is None]
-    return [0, *places]
-
-
-def candidates(text: str) -> dict[str, tuple[str, ...]]:
-    """Texts that some chain makes of `text` or of a tail of it, with the chain's encodings."""
-    found: dict[str, tuple[str, ...]] = {}
-    for wrong in WRONG:
-        for at in _starts(text, wrong):
-            raw = to_bytes(text[at:].replace("\ufffd", "?"), wrong)
-            if raw is None or raw.isascii():
-                continue
-            for right in RIGHT:
-                if right == wrong:
-                    continue
-                made = raw.decode(right, "replace")
-                if made.count("\ufffd") * 4 > len(made):
-                    continue
-                whole = text[:at] + made
-                if whole != text and whole not in found:
-                    found[whole] = (wrong, right)
-                if (wrong, right) == ("windows-1252", "utf-8"):  # read wrongly twice
-                    raw2 = to_bytes(made.replace("\ufffd", "?"), wrong)
-                    twice = raw2.decode(right, "replace") if raw2 and not raw2.isascii() else text
-                    twice = text[:at] + twice if twice != text else text
-                    if twice != text and twice not in found:
-                        found[twice] = (wrong, right, wrong, right)
-    return found
-
-
-def best_repair(text: str, model: charlm.CharModel) -> tuple[float, str | None, str | None]:
-    """Gain in log probability, restored text and chain of the likeliest candidate (0, None, None without one)."""
-    options = candidates(text)
-    if not options:
-        return 0.0, None, None
-    made = sorted(options)
-    now, *scores = model.scores([text, *made]).tolist()
-    gains = {t: s - now - (TAIL_COST if t[:1] == text[:1] else 0) for t, s in zip(made, scores)}
-    best = max(gains, key=lambda t: (gains[t], t))
-    return (gains[best], best, ">".join(options[best])) if gains[best] > 0 else (0.0, None, None)
-
-
-def judge(text: str | None, model: charlm.CharModel, margin: float) -> tuple[bool, str | None, str | None]:
-    """Whether a text is garbled, its original where a chain gives it, and the chain."""
-    if not text or not _NOT_ASCII.search(text):
-        return False, None, None
-    if len(text) > MAX_TAIL_STARTS:
-        parts = [judge(text[i : i + MAX_TAIL_STARTS], model, margin) for i in range(0, len(text), MAX_TAIL_STARTS)]
-        return any(p[0] for p in parts), None, None
-    if _PLAIN.fullmatch(text) and model.share(text) >= COMMON:
-        return False, None, None  # a wrong reading leaves characters that are rare, or of other scripts
-    impossible = bool(_IMPOSSIBLE.search(text))
-    gain, restored, chain = best_repair(text, model)
-    if gain > margin:
-        return True, (None if _IMPOSSIBLE.search(restored) else restored), chain
-    return impossible, None, None
-
-
-def _garble(text: str, k: int) -> str | None:
-    """A clean text read wrongly on purpose, by the k-th chain; None if it stays the same or can't be."""
-    wrong, right = _chains()[k % len(_chains())]
+CHAINS = tuple((w, r) for r in RIGHT for w in WRONG if w != r)
+
+
+@lru_cache(maxsize=None)
+def _writer(wrong: str) -> tuple[np.ndarray, np.ndarray]:
+    """Number of bytes (0: none) and the bytes as one number, for each code point of the basic plane."""
+    size, packed = np.zeros(0x10000, np.int64), np.zeros(0x10000, np.int64)
+    if wrong == "windows-1252":
+        pool = _byte_of()
+    elif wrong == "gb18030":
+        pool = (chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    else:
+        high = bytes(range(0x80, 0x100))
+        pool = set(bytes(range(0x80)).decode("ascii")) | set(high.decode(wrong, "ignore"))
+        if wrong in WIDE:
+            pool |= {c for a in high for b in range(0x40, 0xFF) for c in bytes([a, b]).decode(wrong, "ignore")}
+            pool |= {c for a in range(0xA1, 0xFF) for b in range(0xA1, 0xFF) for c in bytes([0x8F, a, b]).decode(wrong, "ignore")} if wrong == "euc_jp" else set()
+    for c in pool:
+        raw = to_bytes(c, wrong)
+        if raw:
+            size[ord(c)], packed[ord(c)] = len(raw), int.from_bytes(raw)
+    size[LOST], packed[LOST] = 1, ord("?")
+    return size, packed
+
+
+@lru_cache(maxsize=None)
+def _reader(right: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of single bytes, of two bytes, and of two bytes after 0x8F; -1 where there is none."""
+    tables = []
+    for lead in (b"", None, b"\x8f" if right == "euc_jp" else None):
+        out = np.full(256 if lead == b"" else 0x10000, -1, np.int64)
+        if lead == b"":
+            options = [(b, bytes([b])) for b in range(256)]
+        else:
+            options = [(a << 8 | b, (lead or b"") + bytes([a, b])) for a in range(0x81, 0xFF) for b in range(0x40, 0xFF)] if lead or not tables[1:] else []
+        for k, raw in options:
+            made = raw.decode(right, "ignore")
+            if len(made) == 1 and (len(raw) == 1 or ord(made) > 0x7F or raw[0] < 0x80):
+                out[k] = ord(made)
+        tables.append(out)
+    return tuple(tables)
+
+
+def _decode_each(raw: np.ndarray, right: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of `raw` the character that would begin there (`LOST` where none does) and its bytes."""
+    b0 = raw.astype(np.int64)
+    b1, b2, b3 = (np.concatenate([b0[k:], np.zeros(k, np.int64)]) for k in (1, 2, 3))
+    code, size = np.full(len(b0), LOST, np.int64), np.ones(len(b0), np.int64)
+    if right == "utf-8":
+        more1, more2, more3 = ((b & 0xC0) == 0x80 for b in (b1, b2, b3))
+        code = np.where(b0 < 0x80, b0, code)
+        two = (b0 >= 0xC2) & (b0 <= 0xDF) & more1
+        lead3 = (b0 >= 0xE0) & (b0 <= 0xEF) & more1 & ~((b0 == 0xE0) & (b1 < 0xA0)) & ~((b0 == 0xED) & (b1 >= 0xA0))
+        lead4 = (b0 >= 0xF0) & (b0 <= 0xF4) & more1 & ~((b0 == 0xF0) & (b1 < 0x90)) & ~((b0 == 0xF4) & (b1 >= 0x90))
+        three, four = lead3 & more2, lead4 & more2 & more3
+        size[two | (lead3 & ~more2) | (lead4 & ~more2)] = 2
+        size[three | (lead4 & more2 & ~more3)] = 3
+        size[four] = 4
+        code = np.where(two, (b0 & 0x1F) << 6 | (b1 & 0x3F), code)
+        code = np.where(three, (b0 & 0x0F) << 12 | (b1 & 0x3F) << 6 | (b2 & 0x3F), code)
+        return np.where(four, (b0 & 0x07) << 18 | (b1 & 0x3F) << 12 | (b2 & 0x3F) << 6 | (b3 & 0x3F), code), size
+    ones, twos, threes = _reader(right)
+    one, two = ones[b0], twos[b0 << 8 | b1]
+    three = np.where(b0 == 0x8F, threes[b1 << 8 | b2], -1) if right == "euc_jp" else np.full(len(b0), -1, np.int64)
+    code = np.where(one >= 0, one, np.where(two >= 0, two, np.where(three >= 0, three, code)))
+    size[(one < 0) & (two >= 0)] = 2
+    size[(one < 0) & (two < 0) & (three >= 0)] = 3
+    return code, size
+
+
+class _Texts:
+    """Code points of many texts with the scores of all their tails as they stand."""
+
+    def __init__(self, texts: list[str], model: charlm.CharModel):
+        self.model = model
+        self.codes = charlm.join(texts).astype(np.int64)
+        edges = np.flatnonzero(self.codes == charlm.EDGE)
+        self.starts, self.ends = edges[:-1] + 1, edges[1:]
+        self.text = np.zeros(len(self.codes), np.int64)
+        self.text[self.ends] = 1
+        self.text = np.cumsum(self.text) - self.text  # number of the text of each place, its edge included
+        self.text[0] = -1
+        self.total = np.concatenate([[0.0], np.cumsum(model.logs(self.codes).astype(np.float64))])
+        self.edge = self.codes == charlm.EDGE
+        self.wide = (self.codes > 0x7F) & (self.codes != LOST)
+        self.first = np.zeros(len(self.codes), bool)
+        self.first[self.starts] = True
+
+    def tails(self, mask: np.ndarray) -> np.ndarray:
+        """How many places from each one to the end of its text are in `mask`."""
+        before = np.concatenate([[0], np.cumsum(mask)])
+        return before[self.ends[np.maximum(self.text, 0)]] - before[:-1]
+
+    def best(self, wrong: str, right: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, gain, start) of the best tail of each text that this chain can explain."""
+        size, packed = self.written(wrong)
+        able = (self.tails((size == 0) & ~self.edge) == 0) & ~self.edge
+        able[0] = False
+        begin = self.wide.copy()
+        if wrong not in WIDE:  # letters and signs: a run of them begins where the wrong reading does
+            before = np.concatenate([[0], self.codes[:-1]])
+            begin &= (before < 0x80) | (np.concatenate([[1], size[:-1]]) == 0)
+        begin = (begin | self.first) & able & (self.tails(self.wide) > 0)
+        has = np.zeros(len(self.starts), bool)
+        has[self.text[begin]] = True
+        nothing = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        if not has.any():
+            return nothing
+        kept = np.flatnonzero((able | self.edge) & has[np.maximum(self.text, 0)] & (self.text >= 0))
+        last = self.edge[kept]
+        length = np.where(last, 4, size[kept])  # an edge ends the bytes of its text
+        offset = np.cumsum(length) - length
+        raw = np.zeros(int(length.sum()), np.uint8)
+        for k in range(4):
+            at = np.flatnonzero((length > k) & ~last)
+            raw[offset[at] + k] = packed[kept[at]] >> 8 * (length[at] - 1 - k) & 255
+        code, step = _decode_each(raw, right)
+        end = np.zeros(len(raw), bool)
+        for k in range(4):
+            end[offset[last] + k] = True
+        code[end], step[end] = charlm.EDGE, 0
+        to = np.arange(len(raw)) + step
+        sums = np.zeros((len(raw), 3))
+        inside = np.flatnonzero(~end)
+        sums[inside, 0] = self.model.steps(code[inside], code[to[inside]])
+        sums[inside, 1] = 1
+        sums[inside, 2] = code[inside] == LOST
+        while True:
+            further = to[to]
+            sums += sums[to]
+            if np.array_equal(further, to):
+                break
+            to = further
+        place = np.full(len(self.codes), -1, np.int64)
+        place[kept] = offset
+        at = np.flatnonzero(begin)
+        o = place[at]
+        gain = sums[o, 0] + self.model.steps(self.codes[at - 1], code[o]) - (self.total[self.ends[self.text[at]]] - self.total[at - 1])
+        gain -= np.where(self.first[at], 0.0, TAIL_COST)
+        gain[sums[o, 2] * 4 > sums[o, 1]] = -np.inf
+        order = np.lexsort((at, -gain, self.text[at]))
+        texts, top = np.unique(self.text[at][order], return_index=True)
+        top = order[top]
+        good = gain[top] > -np.inf
+        return texts[good], gain[top][good], (at[top] - self.starts[texts])[good]
+
+    def written(self, wrong: str) -> tuple[np.ndarray, np.ndarray]:
+        table_size, table_packed = _writer(wrong)
+        low = np.minimum(self.codes, 0xFFFF)
+        size, packed = table_size[low], table_packed[low]
+        for c in np.unique(self.codes[self.codes > 0xFFFF]).tolist():
+            raw = to_bytes(chr(c), wrong) or b""
+            size[self.codes == c], packed[self.codes == c] = len(raw), int.from_bytes(raw)
+        size[self.edge] = 0
+        return size, packed
+
+
+def made_by(text: str, start: int, chain: tuple[str, ...]) -> str:
+    """`text` with its tail from `start` on brought back through the encodings of `chain`."""
+    tail = text[start:]
+    for wrong, right in zip(chain[::2], chain[1::2]):
+        tail = to_bytes(tail, wrong).decode(right, "replace")
+    return text[:start] + tail
+
+
+def best_repairs(texts: list[str], model: charlm.CharModel, costs: dict[tuple[str, str], float]) -> list[tuple[float, int, tuple[str, ...]]]:
+    """(gain in log probability, start of the tail, chain) of the likeliest candidate of each text; (0, 0, ()) without
+    one. `costs`: minus the log of each chain's share of wrong readings."""
+    out: list[tuple[float, int, tuple[str, ...]]] = [(0.0, 0, ())] * len(texts)
+    by_size: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        if t and not t.isascii():
+            by_size.setdefault(len(t).bit_length(), []).append(i)
+    for group in by_size.values():  # the rounds of doubling follow the longest text
+        held = _Texts([texts[i] for i in group], model)
+        again: list[tuple[int, int]] = []
+        for chain in CHAINS:
+            for k, gain, start in zip(*(a.tolist() for a in held.best(*chain))):
+                gain -= costs.get(chain, 0.0)
+                if gain > out[group[k]][0]:
+                    out[group[k]] = gain, start, chain
+                if chain == TWICE:
+                    again.append((group[k], start))
+        once = [(i, start, made_by(texts[i], start, TWICE)) for i, start in again]
+        once = [x for x in once if not x[2].isascii()]
+        if once:
+            second = _Texts([made for *_, made in once], model)
+            found = [(once[k], start) for k, _, start in zip(*(a.tolist() for a in second.best(*TWICE)))]
+            found = [(i, start, made_by(made[:start] + made[start:], start, TWICE)) for (i, first, made), start in found if start <= first]
+            if found:
+                now, then = model.scores([texts[i] for i, *_ in found]), model.scores([m for *_, m in found])
+                for (i, start, _), gain in zip(found, (then - now).tolist()):
+                    gain -= (TAIL_COST if start else 0.0) + 2 * costs.get(TWICE, 0.0)
+                    if gain > out[i][0]:
+                        out[i] = gain, start, TWICE * 2
+    return out
+
+
+def judge(texts: list[str | None], model: charlm.CharModel, margin: float, costs: dict[tuple[str, str], float]) -> list[tuple[bool, str | None, str | None]]:
+    """Of each text whether it is garbled, its original where a chain gives it, and the chain."""
+    some = [t if t and not t.isascii() else "" for t in texts]
+    out: list[tuple[bool, str | None, str | None]] = []
+    broken = [i for i, t in enumerate(some) if _IMPOSSIBLE.search(t)]
+    lost = dict(zip(broken, (model.scores([_IMPOSSIBLE.sub("", some[i]) for i in broken]) - model.scores([some[i] for i in broken])).tolist())) if broken else {}
+    for i, (text, (gain, start, chain)) in enumerate(zip(some, best_repairs(some, model, costs))):
+        if gain > margin:
+            restored = made_by(text, start, chain)
+            out.append((True, None if _IMPOSSIBLE.search(restored) else restored, ">".join(chain)))
+        else:
+            out.append((lost.get(i, 0.0) > margin, None, None))
+    return out
+
+
+def _garble(text: str, chain: tuple[str, str]) -> str | None:
+    """A clean text read wrongly on purpose; None if it stays the same or can't be."""
+    wrong, right = chain
     try:
         raw = text.encode(right)
     except UnicodeEncodeError:
@@ -166,79 +319,82 @@ def _disturb(text: str, k: int) -> str:
 class Repairer:
     """The trained model with its validated margin; small enough to broadcast."""
 
-    def __init__(self, counts: np.ndarray, margin: float = 5.0):
-        self.counts, self.margin = counts.astype(np.int32), margin
-        self._model, self._known = None, {}
-
-    def __getstate__(self):
-        return {"counts": self.counts, "margin": self.margin, "_model": None, "_known": {}}
+    def __init__(self, model: charlm.CharModel, margin: float = 12.0, costs: dict[tuple[str, str], float] | None = None):
+        self.model, self.margin, self.costs = model, margin, costs or {}
 
-    @property
-    def model(self) -> charlm.CharModel:
-        if self._model is None:
-            self._model = charlm.CharModel(self.counts)
-        return self._model
+    def judge(self, texts: list[str | None]) -> list[tuple[bool, str | None, str | None]]:
+        """(garbled, original, chain) of each text; repeated texts are judged once."""
+        different = list(dict.fromkeys(texts))
+        known = dict(zip(different, judge(different, self.model, self.margin, self.costs)))
+        return [known[t] for t in texts]
 
     def __call__(self, text: str | None) -> tuple[bool, str | None, str | None]:
-        known = self._known.get(text)
-        if known is None:
-            if len(self._known) > 200_000:
-                self._known.clear()
-            known = self._known[text] = judge(text, self.model, self.margin)
-        return known
-
-    def validate(self, clean: list[str]) -> None:
-        """Choose the margin with the best F1 over clean texts and garbled copies of them."""
-        gains: list[tuple[float, bool]] = []
-        for k, text in enumerate(clean):
-            if not _PLAIN.fullmatch(text):
-                gains.append((best_repair(text, self.model)[0], False))
-            if text:
-                gains.append((best_repair(_disturb(text, k), self.model)[0], False))
-            bad = _garble(text, k) if _NOT_ASCII.search(text) else None
-            if bad and not _IMPOSSIBLE.search(bad):
-                gains.append((best_repair(bad, self.model)[0], True))
+        return self.judge([text])[0]
+
+    def validate(self, sample: list[str], ratio: float) -> None:
+        """Choose the margin with the best F1 over sampled texts and garbled copies of them; `ratio`: clean texts of the
+        corpus for each garbled one. Sampled texts count as clean unless the gain is beyond doubt."""
+        clean = [t for t, (gain, *_) in zip(sample, best_repairs(sample, self.model, self.costs)) if gain <= SURE]
+        good = [*clean, *(_disturb(t, k) for k, t in enumerate(clean) if t)]
+        likely = np.cumsum([np.exp(-self.costs.get(c, np.log(len(CHAINS)))) for c in CHAINS])
+        drawn = np.searchsorted(likely, (np.arange(len(clean)) * 0.6180339887 % 1) * likely[-1])  # each chain as often as it occurs
+        bad = [b for t, k in zip(clean, drawn) if (b := _garble(t, CHAINS[min(k, len(CHAINS) - 1)])) and not _IMPOSSIBLE.search(b)]
+        right = np.array([g for g, *_ in best_repairs(good, self.model, self.costs)])
+        hits = np.array([g for g, *_ in best_repairs(bad, self.model, self.costs)])
+        weight = ratio * len(hits) / max(1, len(right))
 
         def f1(margin: float) -> float:
-            hit = sum(1 for g, bad in gains if bad and g > margin)
-            wrong = sum(1 for g, bad in gains if not bad and g > margin)
-            return 2 * hit / max(1.0, 2 * hit + CLEAN_WEIGHT * wrong + sum(1 for g, bad in gains if bad and g <= margin))
+            hit, wrong = float((hits > margin).sum()), float((right > margin).sum()) * weight
+            return 2 * hit / max(1.0, hit + wrong + len(hits))
 
         self.curve = [(m, round(f1(m), 4)) for m in MARGINS]
-        best = max(f1(m) for m in MARGINS)
-        level = [m for m in MARGINS if f1(m) >= best - 1e-9]
+        best = max(f for _, f in self.curve)
+        level = [m for m, f in self.curve if f >= best - 1e-9]
         self.margin = level[len(level) // 2]
 
 
 def train(texts: DataFrame, column: str = "text") -> Repairer:
-    """Train on all `texts`, again without those the first model rejects, and validate the margin."""
+    """Train on all `texts`, again without those the first model rejects, whose chains give the share of each, and
+    validate the margin."""
     spark = texts.sparkSession
     possible = texts.select(F.col(column).alias("text")).where(F.col("text").isNotNull() & ~F.col("text").rlike("[\\x{fffd}\\x80-\\x9f\\x{e000}-\\x{f8ff}]"))
-    first = spark.sparkContext.broadcast(Repairer(charlm.count(possible)))
+    counts = charlm.count(possible)
+    shared = spark.sparkContext.broadcast(charlm.CharModel(counts))
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = first.value
+    def rejected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, off, seen = shared.value, charlm.Counts(), [0] * (len(CHAINS) + 1)
         for batch in batches:
-            kept = [t for t in batch.column(0).to_pylist() if not repairer(t)[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["text"])
-
-    good = possible.mapInArrow(clean, "text string")
-    repairer = Repairer(charlm.count(good))
-    plain = F.col("text").rlike("^[\\x00-\\x7f\\x{3000}-\\x{30ff}\\x{4e00}-\\x{9fff}\\x{ff01}-\\x{ff5e}]*$")
-    sample = [r[0] for part in (plain, ~plain) for r in possible.where(part).mapInArrow(clean, "text string").limit(VALIDATION_ROWS // 2).collect()]
-    repairer.validate(sample)
+            read = batch.column(0).to_pylist()
+            best = best_repairs(read, model, {})
+            off.add([t for t, (gain, *_) in zip(read, best) if gain > FIRST_MARGIN])
+            for gain, _, chain in best:
+                if gain > SURE and len(chain) == 2:
+                    seen[CHAINS.index(chain)] += 1
+            seen[-1] += len(read)
+        rows = off.rows()
+        more = [pa.array(a, f.type) for a, f in zip(([-1 - k for k in range(len(seen))], [0] * len(seen), seen), rows.schema)]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(rows.columns, more)], names=rows.schema.names)
+
+    gone = cut(possible.mapInArrow(rejected, "bucket bigint, begin int, n bigint"))
+    said = {-1 - r.bucket: r.n for r in gone.where("bucket < 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    by_chain = [said.get(k, 0) + 0.5 for k in range(len(CHAINS))]
+    costs = {c: -float(np.log(n / sum(by_chain))) for c, n in zip(CHAINS, by_chain)}
+    ratio = max(1.0, said.get(len(CHAINS), 0) / sum(by_chain))
+    repairer = Repairer(charlm.CharModel(counts.less(charlm.collect(gone.where("bucket >= 0")))), costs=costs)
+    sample = [r[0] for r in possible.where("text rlike '[^\\\\x00-\\\\x7f]'").orderBy(F.xxhash64("text"), "text").limit(VALIDATION_ROWS).collect()]
+    repairer.validate(sample, ratio)
     return repairer
 
 
 def repair(df: DataFrame, keys: list[str], column: str, repairer: Repairer) -> DataFrame:
-    """The garbled rows of a table: keys, text, restored, chain. No shuffle."""
+    """The garbled rows of a table: keys, text, restored, chain. Every different text is judged once; no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(repairer)
     schema = df.select(*keys, F.col(column).alias("text")).schema.add("restored", "string").add("chain", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = shared.value
         for batch in batches:
-            said = [repairer(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            said = repairer.judge(batch.column(batch.num_columns - 1).to_pylist())
             keep = [i for i, s in enumerate(said) if s[0]]
             if keep:
                 rows = batch.take(pa.array(keep))
@@ -257,4 +413,6 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def garbled(texts: DataFrame) -> DataFrame:
     """(tab, rec_id, text, restored, chain) of all garbled ones of (tab, rec_id, text), each once."""
-    return repair(texts, ["tab", "rec_id"], "text", train(cut(texts.select("text").distinct())))
+    different = cut(texts.select("text").distinct())
+    found = cut(repair(different, [], "text", train(different)))
+    return texts.join(found, "text").select("tab", "rec_id", "text", "restored", "chain")

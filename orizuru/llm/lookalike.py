@@ -136,16 +136,16 @@ def ordinary(m: str) -> bool:
 class Former:
     """Rewrites texts to their consistent form; holds counts of fixed size and is small enough to broadcast."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.int32)
+    def __init__(self, model: charlm.CharModel):
+        self.model = model
         self._ready = None
         self._known: dict[str, str] = {}
 
     def __getstate__(self):
-        return {"counts": self.counts, "_ready": None, "_known": {}}
+        return {"model": self.model, "_ready": None, "_known": {}}
 
     def _build(self):
-        model = charlm.CharModel(self.counts)
+        model = self.model
         often = lambda m: float(model.points[ord(m)]) if len(m) == 1 and ord(m) < charlm.POINTS else 0.0
         automaton = ahocorasick.Automaton()
         fixed: dict[str, str] = {}
@@ -259,7 +259,7 @@ class Former:
 
 def train(texts: DataFrame) -> Former:
     """Frequencies over all different texts."""
-    return Former(charlm.count(texts))
+    return Former(charlm.CharModel(charlm.count(texts)))
 
 
 def rewrite(df: DataFrame, keys: list[str], column: str, former: Former) -> DataFrame:
