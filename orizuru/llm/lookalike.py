@@ -119,8 +119,6 @@ def look_alikes() -> dict[str, list[str]]:
     root = {m: r for r, ms in alike.items() for m in ms}
     for parts, whole in sequences:  # closed over the classes of the base and of the marks
         options = [[m for m in alike.get(root.get(p, p), [p]) if m == p or unicodedata.combining(p) or script(m) == script(p)] for p in parts]
-        if len(parts) > 3:
-            options = [[p] for p in parts]
         for made in itertools.product(*options):
             classes.union("".join(made), whole)
         for k in range(1, len(parts) - 1):  # partly composed

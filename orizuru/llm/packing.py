@@ -4,7 +4,8 @@ Items are spread by hash over shards of about `SHARD_ITEMS`; each shard is evolv
 their own. Crossover injects whole well-filled bins of one parent into the other, removes the bins that hold
 duplicates and best-fits the displaced items. After each epoch the elite of an island migrates to its neighbour. The
 best island of a shard keeps its well-filled bins; what lies in the others of all shards is packed again in the same
-way, so that the unused space doesn't grow with the number of shards.
+way, level after level until one shard is left or a level settles less than a tenth of its items, so that the unused
+space doesn't grow with the number of shards.
 
 Only an item longer than the capacity is split: into full pieces, which fill containers of their own, and a rest.
 
@@ -14,6 +15,7 @@ document count once; an empty table gives no rows; ties are settled by document.
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -29,9 +31,10 @@ SHARD_ITEMS = 1500
 ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 40
+ISLANDS_A_TASK = 4
 POPULATION = 8
 WELL_FILLED = 0.985
-LEVELS = 3
+SHRINKS = 0.9  # packing again goes on while a level settles a tenth of the items
 
 Bins = list[list[int]]
 
@@ -176,7 +179,7 @@ def _evolve_shards(items: DataFrame, shards: int, capacity: int, generations: in
     sharded = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long"))
     rows = sharded.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "doc_id", "piece", "size", F.lit(0).alias("bin"), F.lit(0).alias("visitor"))
     for epoch in range(EPOCHS):
-        rows = cut(rows.repartition(min(shards * ISLANDS, 2000), "shard", "island").groupBy("shard", "island").applyInPandas(_island(capacity, epoch, generations), _ROWS))
+        rows = cut(rows.repartition(max(1, -(-shards * ISLANDS // ISLANDS_A_TASK)), "shard", "island").groupBy("shard", "island").applyInPandas(_island(capacity, epoch, generations), _ROWS))
         if epoch + 1 < EPOCHS:  # the elite visits the next island
             visit = rows.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")).withColumn("visitor", F.lit(1))
             rows = rows.unionByName(visit)
@@ -196,20 +199,22 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
     whole = items.where(F.col("size") == capacity).select(F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", "size")
     rest, done = items.where(F.col("size") < capacity), []
     n = rest.count()
-    for level in range(LEVELS):
+    for level in itertools.count():
         shards = max(1, round(n / shard_items))
         packed = cut(_evolve_shards(rest, shards, capacity, generations))
         named = packed.withColumn("container_id", F.concat_ws("-", F.lit(f"l{level}"), "shard", "bin"))
-        if shards == 1 or level == LEVELS - 1:
+        if shards == 1:
             done.append(named)
             break
         fill = packed.groupBy("shard", "bin").agg(F.sum("size").alias("fill"))
         good = fill.where(F.col("fill") >= WELL_FILLED * capacity)
         done.append(named.join(good, ["shard", "bin"], "left_semi"))
-        rest = cut(named.join(good, ["shard", "bin"], "left_anti").select("doc_id", "piece", "size"))
-        n = rest.count()
-        if not n:
+        left = cut(named.join(good, ["shard", "bin"], "left_anti"))
+        before, n = n, left.count()
+        if not n or n > SHRINKS * before:  # a rest that no longer shrinks is as well packed as it will be
+            done.append(left)
             break
+        rest = left.select("doc_id", "piece", "size")
     out = whole
     for d in done:
         out = out.unionByName(d.select("container_id", "doc_id", "piece", "size"))
