@@ -43,7 +43,7 @@ def _item(v: str, pos: str, name: str) -> str:
 
 def _items(v: str, is_map_role: str) -> str:
     """SQL for the items of one role value as an array of structs; null for an empty or unreadable value."""
-    named = "coalesce(" + _text("x") + ", " + _text("variant_get(x, '$.name')") + ")"
+    named = "coalesce(" + _text("variant_get(x, '$.name')") + ", " + _text("x") + ")"  # a whole object's type is costly to tell
     as_list = f"transform(try_variant_get({v}, '$', 'array<variant>'), (x, i) -> {_item('x', 'i + 1', named)})"
     as_text = f"transform(filter(array({_text(v)}), t -> t is not null), t -> {_item(v, '1', 't')})"
     entry = (
@@ -67,8 +67,9 @@ def _roles(doc: str, roles: tuple[str, ...], ep_pos: str, ep_num: str) -> str:
 
 
 def _documents(df: DataFrame, key: str, doc: str) -> DataFrame:
-    parsed = df.select(F.col(key).alias("work_id"), F.expr(f"try_parse_json(`{doc}`)").alias("doc"))
-    return parsed.where("schema_of_variant(doc) like 'OBJECT%'")
+    """The documents that are JSON objects: a valid text whose first sign is a brace is one."""
+    objects = df.where(F.col(doc).rlike("^[ \\t\\n\\r]*\\{")).select(F.col(key).alias("work_id"), F.col(doc).alias("doc"))
+    return objects.select("work_id", F.expr("try_parse_json(doc)").alias("doc")).where("doc is not null")
 
 
 def flatten_credits(df: DataFrame, key: str = "work_id", doc: str = "staff") -> DataFrame:
