@@ -19,18 +19,28 @@ RANK_TIERS = ((1.0, "S+"), (5.0, "S"), (15.0, "A+"), (30.0, "A"), (50.0, "B"), (
 
 
 def rnd(x: Column, digits: int) -> Column:
-    """Round half up on the double itself, so that every engine gives the same digits; a tolerance of a millionth of
-    the last digit lets sums in any order fall on the same side of a tie."""
+    """Round half up on the double itself, so that every engine gives the same digits. Sums that may lie on a tie are
+    taken exactly, see `exact_sum`."""
     p = float(10**digits)
-    return F.floor(x * p + 0.500001) / p
+    return F.floor(x * p + 0.5) / p
 
 
-def pseudo_count(role: Column) -> Column:
+def exact_sum(c: str | Column) -> Column:
+    """A sum that doesn't hang on the order of the rows: over nine decimal digits of each value."""
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(20,9)")).cast("double")
+
+
+def pseudo_counts(override: dict[str, float] | None = None) -> dict[str, float]:
+    """The pseudo-counts with some of them replaced."""
+    return PSEUDO_COUNT | (override or {})
+
+
+def pseudo_count(role: Column, counts: dict[str, float] = PSEUDO_COUNT) -> Column:
     """Pseudo-count of a role; unknown roles and null have that of all roles."""
     out = F.when(F.lit(False), 0.0)
-    for r, m in PSEUDO_COUNT.items():
+    for r, m in counts.items():
         out = out.when(role == r, m)
-    return out.otherwise(PSEUDO_COUNT["all"])
+    return out.otherwise(counts["all"])
 
 
 def role_order(role: Column) -> Column:
@@ -78,5 +88,14 @@ def deviation(z: Column) -> Column:
     return rnd(50.0 + 10.0 * z, 1)
 
 
+def z_of_deviation(score: Column) -> Column:
+    return (score - 50.0) / 10.0
+
+
+def top_text(percent: Column) -> Column:
+    """How a share at the top is written: two digits under one percent, one above, and a floor."""
+    return F.when(percent < 0.1, "< 0.1%").otherwise(F.concat(F.format_string("%.1f", percent), F.lit("%")))
+
+
 def verdict(residual: Column) -> Column:
     return F.when(residual > 0.4, "surprise").when(residual < -0.4, "disappointing").otherwise("as expected")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orizuru.session import cut
 
+ROUNDS_A_CUT = 5
 
 def residuals(ratings: DataFrame) -> tuple[DataFrame, float, int]:
     """(user_id, item_id, n, s, s2): count, sum and square sum of score - mean; the mean; the number of ratings."""
@@ -24,13 +25,14 @@ def residuals(ratings: DataFrame) -> tuple[DataFrame, float, int]:
     return pairs, head["mean"], head.n
 
 
-def _step(pairs: DataFrame, known: DataFrame | None, key: str, other: str, regular: float) -> DataFrame:
+def _step(laid: DataFrame, known: DataFrame | None, key: str, other: str, regular: float) -> DataFrame:
+    """New biases of `key`; `laid` holds the pairs by `other`, so that the biases come to them and no pair moves."""
     b = "b_u" if key == "user_id" else "b_i"
     if known is None:
-        part = pairs.withColumn("d", F.col("s"))
+        part = laid.withColumn("d", F.col("s"))
     else:
         old = "b_i" if b == "b_u" else "b_u"
-        part = pairs.join(known, other).withColumn("d", F.col("s") - F.col("n") * F.col(old))
+        part = laid.join(known, other).withColumn("d", F.col("s") - F.col("n") * F.col(old))
     return part.groupBy(key).agg((F.sum("d") / (F.sum("n") + F.lit(float(regular)))).alias(b))
 
 
@@ -42,14 +44,23 @@ def loss(pairs: DataFrame, users: DataFrame, items: DataFrame, lambda_user: floa
 
 def fit(ratings: DataFrame, max_iter: int = 40, tol: float | None = 1e-5, lambda_user: float = 10.0, lambda_item: float = 10.0) -> dict:
     """users (user_id, b_u), items (item_id, b_i), mean, losses. Stops once the loss changes by less than `tol`;
-    with tol None all `max_iter` rounds run and no loss is computed before the last."""
+    with tol None all `max_iter` rounds run and no loss is computed before the last.
+
+    The pairs are laid out twice, by user and by item. The lineage is cut after each round where the loss is asked for,
+    which reads both biases, and every `ROUNDS_A_CUT` rounds where it isn't."""
     pairs, mean, n = residuals(ratings)
     pairs = cut(pairs)
+    by_user, by_item = cut(pairs.repartition("user_id")), cut(pairs.repartition("item_id"))
     items, losses = None, []
     for k in range(max_iter):
-        users = cut(_step(pairs, items, "user_id", "item_id", lambda_user))
-        items = cut(_step(pairs, users, "item_id", "user_id", lambda_item))
-        if tol is not None or k == max_iter - 1:
+        last = k == max_iter - 1
+        users = _step(by_item, items, "user_id", "item_id", lambda_user)
+        if tol is not None or last:
+            users = cut(users)
+        items = _step(by_user, users, "item_id", "user_id", lambda_item)
+        if tol is not None or last or k % ROUNDS_A_CUT == ROUNDS_A_CUT - 1:
+            items = cut(items)
+        if tol is not None or last:
             losses.append(loss(pairs, users, items, lambda_user, lambda_item))
         if tol is not None and len(losses) > 1 and abs(losses[-2] - losses[-1]) < tol:
             break

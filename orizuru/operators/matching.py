@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from orizuru.functions import text
 
@@ -82,6 +81,17 @@ def best_titles(queries: DataFrame, titles: DataFrame, threshold: float = 70.0,
     return best.select("q_id", "m.t_id", F.floor(F.col("m.score") * 100 + 0.5).alias("score_pct"))
 
 
+def search_candidates(queries: DataFrame, entries: DataFrame, query: str = "title", name: str = "c_name") -> DataFrame:
+    """All pairs of a query with the entries that hold its rarest word (of those that occur among the entries; the first
+    by code point among equally rare ones), as a search by title finds them. A query without such a word has none."""
+    words = lambda c: F.explode(F.array_distinct(F.transform(text.subtitles(F.col(c)), F.lower)))
+    held = entries.select("*", words(name).alias("word"))
+    often = held.groupBy("word").agg(F.count("*").alias("df"))
+    asked = queries.select("*", words(query).alias("word")).join(often, "word")
+    rarest = asked.groupBy(*queries.columns).agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    return rarest.join(held, "word").drop("word")
+
+
 def score_candidates(pairs: DataFrame, strict_empty: bool = False, accept: float = 40.0) -> DataFrame:
     """pairs (q_id, title, year, episodes, format, c_ord, c_id, c_name, c_name_cn, c_date, c_eps) -> the best candidate
     of each query with its score, the first among equals; none below `accept`.
@@ -116,7 +126,3 @@ def with_aliases(titles: DataFrame, aliases: DataFrame) -> DataFrame:
     known = titles.join(group, titles["query"] == group["form"]).select("q_id", "canonical")
     more = known.join(group, "canonical").select("q_id", F.col("form").alias("query"))
     return titles.select("q_id", "query").unionByName(more).distinct()
-
-
-def first_seen(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_k = 1").drop("_k")

@@ -53,7 +53,7 @@ def _items(v: str, is_map_role: str) -> str:
     )
     as_map = f"transform(map_entries(try_variant_get({v}, '$', 'map<string,variant>')), e -> {entry})"
     as_object = "array(" + _item(v, "1", _text(f"variant_get({v}, '$.name')")) + ")"
-    return f"coalesce({as_list}, case when {v} is null then null when schema_of_variant({v}) = 'STRING' then {as_text} when {is_map_role} then {as_map} else {as_object} end)"
+    return f"coalesce({as_list}, case when {v} is null or is_variant_null({v}) then null when schema_of_variant({v}) = 'STRING' then {as_text} when {is_map_role} then {as_map} else {as_object} end)"
 
 
 def _roles(doc: str, roles: tuple[str, ...], ep_pos: str, ep_num: str) -> str:

@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
 from orizuru.functions import text
 from orizuru.functions.expressions import deviation, rnd, verdict
+from orizuru.operators.ranking import placed
 
 
 def ranks(works: DataFrame, predicted: str = "predicted_z") -> DataFrame:
     """Row-number ranks by predicted score, raw score and z; works without a value count as 0."""
-    by = lambda c: W.orderBy(rnd(F.coalesce(F.col(c), F.lit(0.0)), 9).desc(), "ord")
-    return works.select(
-        "work_id",
-        F.row_number().over(by(predicted)).alias("pred_rank"),
-        F.row_number().over(by("raw_score")).alias("raw_rank"),
-        F.row_number().over(by("z")).alias("z_rank"),
-    )
+    key = lambda c: rnd(F.coalesce(F.col(c), F.lit(0.0)), 9)
+    out = works.select("work_id", "ord", key(predicted).alias("_pred"), key("raw_score").alias("_raw"), key("z").alias("_z"))
+    for name in ("pred", "raw", "z"):
+        out = placed(out, [F.col(f"_{name}").desc(), "ord"], f"{name}_rank")
+    return out.select("work_id", "pred_rank", "raw_rank", "z_rank")
 
 
 def comparison(works: DataFrame, biases: DataFrame, stats: DataFrame, mean: float, overall: tuple[float, float], predicted: str = "predicted_z") -> DataFrame:
@@ -44,7 +41,7 @@ def _holds(column: Column, query: str) -> Column:
 def search(works: DataFrame, query: str, limit: int = 25) -> DataFrame:
     """Works whose titles contain the query as typed or in the search form, by z to two digits."""
     raw = query.strip().lower()
-    form = works.sparkSession.range(1).select(text.search_form(F.lit(query)).alias("q")).first().q
+    form = text.search_form_of(query)
     hit = F.lit(False)
     for c in ("title", "title_en"):
         hit = hit | _holds(F.lower(F.coalesce(c, F.lit(""))), raw) | _holds(text.search_form(F.col(c)), form)
@@ -67,7 +64,7 @@ def browse(works: DataFrame, credits: DataFrame, query: str = "", tier: str = ""
     if tier not in ("", "all"):
         rows = rows.where(F.col("tier") == tier)
     if query:
-        q = works.sparkSession.range(1).select(text.client_form(F.lit(query)).alias("q")).first().q
+        q = text.client_form_of(query)
         named = credits.where(_holds(text.client_form(F.col("name")), q)).select("work_id").distinct().withColumn("named", F.lit(True))
         rows = rows.join(named, "work_id", "left").where(_holds(text.client_form(F.col("title")), q) | _holds(text.client_form(F.col("title_en")), q) | F.coalesce("named", F.lit(False))).drop("named")
     key = F.collate(F.col(sort), "ja") if dict(works.dtypes)[sort] == "string" else F.col(sort)
@@ -93,5 +90,12 @@ def merge(old: DataFrame, new: DataFrame, key: str = "work_id") -> DataFrame:
 def uncollected(catalogue: DataFrame, existing: DataFrame, limit: int) -> DataFrame:
     """Entries not collected yet, or collected without an outer id; all of them where none is left."""
     open_ = catalogue.join(existing.where(F.coalesce("bangumi_id", F.lit(0)) != 0).select("anilist_id"), "anilist_id", "left_anti")
-    rows = open_ if open_.take(1) else catalogue
-    return rows.orderBy("ord").limit(limit)
+    left = open_.agg(F.count("*").alias("_left"))
+    known = existing.where(F.coalesce("bangumi_id", F.lit(0)) != 0).select("anilist_id").distinct().withColumn("_known", F.lit(True))
+    rows = catalogue.join(known, "anilist_id", "left").join(F.broadcast(left))  # one row
+    return rows.where(F.col("_known").isNull() | (F.col("_left") == 0)).drop("_known", "_left").orderBy("ord").limit(limit)
+
+
+def filter_comparison(rows: DataFrame, title: str = "", verdict_part: str = "") -> DataFrame:
+    """Rows of a comparison whose title and verdict contain the given parts; empty parts match all."""
+    return rows.where(F.contains(F.lower("title"), F.lit(title.strip().lower())) & F.contains("verdict", F.lit(verdict_part)))

@@ -8,8 +8,9 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orizuru.functions.expressions import exact_sum, rnd
 from orizuru.operators import bias, era, history, model, staff
-from orizuru.session import cut
+from orizuru.session import cut, table
 from orizuru.sources import adapters
 
 
@@ -20,6 +21,16 @@ def bias_and_era(spark: SparkSession, sf_dir: str, rounds: int = 3) -> dict:
     return {"model": fitted, **_standardised(dated)}
 
 
+def scored_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogued works with z: their mean score above the mean of all, standardised within its years."""
+    works = adapters.works_of(table(spark, sf_dir, "anime_metadata"))
+    valid = works.where("raw_score is not null and not isnan(raw_score) and year > 0")
+    mean = valid.agg((exact_sum("raw_score") / F.count("*")).alias("mean"))
+    dated = cut(valid.join(F.broadcast(mean)).select("work_id", "year", (F.col("raw_score") - F.col("mean")).alias("b")))  # one row
+    z = era.standardise(dated, cut(era.year_stats(dated))).select("work_id", rnd(F.col("z"), 6).alias("z"))
+    return works.join(z, "work_id", "left")
+
+
 def _standardised(dated: DataFrame) -> dict:
     stats = cut(era.year_stats(dated))
     overall = dated.agg(F.avg("b"), F.stddev_pop("b") + era.EPS).first()
@@ -54,3 +65,16 @@ def fit(ratings: DataFrame, works: DataFrame, credits: DataFrame, max_iter: int
     scored = cut(works.drop("z").join(era_["z"], "work_id", "left"))
     matrix = cut(history.feature_matrix(credits, scored))
     return Snapshot(fitted, era_["stats"], era_["overall"], scored, matrix, model.fit(matrix, trees=trees), cut(staff.records(credits, scored)))
+
+
+def refresh(works: DataFrame, credits: DataFrame, new_works: DataFrame, ratings: DataFrame, new_ratings: DataFrame, folder: str | None = None, **fit_options) -> Snapshot:
+    """Collected works put in place of those with their id or appended, their ratings added, the chain fitted anew and,
+    where a folder is given, all documents of the export written."""
+    from orizuru.operators.export import write_all
+    from orizuru.operators.works import merge
+
+    merged = cut(merge(works, new_works))
+    out = fit(ratings.unionByName(new_ratings), merged, credits, **fit_options)
+    if folder:
+        write_all(out.records, out.works, credits, folder)
+    return out

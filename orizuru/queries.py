@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orizuru.functions import text
-from orizuru.functions.expressions import deviation, percentile, rank_tier, rnd, score_tier, staff_tier, top_percent, z_tier
+from orizuru.functions.expressions import deviation, exact_sum, percentile, rank_tier, rnd, score_tier, staff_tier, top_percent, top_text, verdict, z_of_deviation, z_tier
 from orizuru.operators import bias, era, export, history, matching, model, nested, staff, works
 from orizuru.plans import oracles, snapshot
-from orizuru.plans.snapshot import bias_and_era
+from orizuru.plans.snapshot import bias_and_era, scored_works
 from orizuru.session import table
 from orizuru.sources import adapters, wiki
 
@@ -228,13 +228,113 @@ def staff_head_counts(spark, d):
     return r.groupBy("role").agg(F.countDistinct("name").alias("persons")).unionByName(r.agg(F.countDistinct("name").alias("persons")).select(F.lit("all").alias("role"), "persons"))
 
 
+def _flat(column: str, fields: list[str]):
+    """An array of structs as text."""
+    return F.array_join(F.transform(column, lambda e: F.concat_ws(":", *[e[f].cast("string") for f in fields])), ",").alias(column)
+
+
+_ROLE_STATS = ["role", "works_count", "cumulative_z", "bayesian_rating", "rating_rank", "cumulative_rank", "role_total", "rating_tier", "cum_tier"]
+
+
+@query
+def staff_profile(spark, d):
+    """The whole profile of one person by name."""
+    p = staff.profile(_records(spark, d), "Customer#000000012")
+    return p.select("name", "total_works", "bayesian_rating", "career_cumulative_z", "raw_mean_z", "peak_z", "std_z", "overall_rank", "cumulative_rank", "total_staff", "primary_role", "role_rank", "role_total", _flat("all_role_stats", _ROLE_STATS), _flat("best_works", ["work_id", "year", "role", "z_score"]), _flat("career_trajectory", ["year", "work_id", "role", "z_score"]))
+
+
+@query
+def board_search(spark, d):
+    """A page of a board by cumulative rank, found by a part of the name; what is shown is the place in the list."""
+    board = export.boards(_records(spark, d)).where("board = 'genga'")
+    return staff.board_page(board, " 0001", "ck", 1, 20).select("n", "w", "r", "z", "rk", "ck", "shown")
+
+
+@query
+def board_browse(spark, d):
+    board = export.boards(_records(spark, d)).where("board = 'all'")
+    return staff.board_page(board, "", "rk", 2, 25).select("n", "w", "r", "rk", "ck", "shown")
+
+
+@query
+def fallback_roles(spark, d):
+    return staff.fallback_roles(export.boards(_records(spark, d)))
+
+
+@query
+def own_pseudo_counts(spark, d):
+    """A board with a pseudo-count of the caller in place of the usual one."""
+    return staff.leaderboard(_records(spark, d), "director", limit=100, pseudo={"director": 5.0}).select("name", "bayesian_rating", "rank", "total_count")
+
+
+@query
+def unified_search(spark, d):
+    """Works and persons that a query finds, the best of each."""
+    w = works.search(adapters.works(spark, d), "12", 15).select(F.lit("work").alias("kind"), F.col("work_id").alias("id"), F.col("title").alias("label"), F.col("true_z").alias("score"))
+    p = staff.search(_records(spark, d), "12").select(F.lit("person").alias("kind"), F.col("name").alias("id"), F.col("name").alias("label"), F.col("rating").alias("score"))
+    return w.unionByName(p)
+
+
+@query
+def status(spark, d):
+    """Counts, global mean and quality of a prediction, in one row."""
+    w = adapters.works(spark, d)
+    counts = w.agg(F.count("*").alias("works_count"))
+    r = adapters.ratings(spark, d).agg(F.count("*").alias("ratings_count"), rnd(exact_sum("score") / F.count("*"), 2).alias("global_mean"))
+    m = model.metrics(w.withColumn("predicted_z", rnd(F.col("z") * 0.8 + F.col("year") / 1000, 6)))
+    return counts.join(F.broadcast(r)).join(F.broadcast(m)).withColumn("status", F.lit("ready"))  # one row each
+
+
+# --- the catalogue's own works and credits
+@query
+def real_works(spark, d):
+    return adapters.works_of(table(spark, d, "anime_metadata")).select("ord", "work_id", "title", "title_en", "year", "listed_year", "raw_score", "format", "episodes")
+
+
+@query
+def real_credits(spark, d):
+    return adapters.credits_of(table(spark, d, "anime_metadata"))
+
+
+@query
+def real_z(spark, d):
+    return scored_works(spark, d).where("z is not null").select("work_id", rnd(F.col("z"), 5).alias("z"))
+
+
+def _real_records(spark, d):
+    return staff.records(adapters.credits_of(table(spark, d, "anime_metadata"), maps=False), scored_works(spark, d))
+
+
+@query
+def real_staff_records(spark, d):
+    return _real_records(spark, d).select("name", "role", "work_id", "year", rnd(F.col("z"), 5).alias("z"), "rank", "ep_ratio")
+
+
+@query
+def real_leaderboard_all(spark, d):
+    return staff.leaderboard(_real_records(spark, d), limit=1000).select("name", "works_count", "rank", "total_count")
+
+
+@query
+def real_feature_matrix(spark, d):
+    f = history.feature_matrix(adapters.credits_of(table(spark, d, "anime_metadata")), scored_works(spark, d))
+    return f.select("work_id", "year", *[rnd(F.col(c), 4).alias(c) for c in history.FEATURES])
+
+
 # --- tiers
 @query
 def work_tiers(spark, d):
     w = works.ranks(adapters.works(spark, d), "z").join(adapters.works(spark, d), "work_id")
-    total = F.lit(adapters.works(spark, d).count())
+    total = F.broadcast(adapters.works(spark, d).agg(F.count("*").alias("total")))  # one row
     dev = deviation(F.col("z"))
-    return w.select("work_id", dev.alias("deviation_score"), score_tier(dev).alias("tier"), rnd(percentile(F.col("z_rank"), total), 2).alias("percentile"))
+    return w.join(total).select("work_id", dev.alias("deviation_score"), score_tier(dev).alias("tier"), rnd(percentile(F.col("z_rank"), F.col("total")), 2).alias("percentile"))
+
+
+@query
+def client_tiers(spark, d):
+    """What the client writes beside a score: the share at the top as text, and z back from the shown deviation."""
+    w = adapters.works(spark, d).withColumn("d", deviation(F.col("z")))
+    return w.select("work_id", top_text(top_percent(z_of_deviation(F.col("d")))).alias("top"), rnd(z_of_deviation(F.col("d")), 2).alias("z"))
 
 
 @query
@@ -265,7 +365,27 @@ def comparison_core(spark, d):
     s = bias_and_era(spark, d)
     w = adapters.works(spark, d).withColumn("predicted_z", rnd(F.col("z") * 0.5 + F.col("raw_score") / 200, 6))
     out = works.comparison(w, s["model"]["items"], s["stats"], s["model"]["mean"], s["overall"])
-    return out.drop("predicted_score")
+    return out
+
+
+@query
+def comparison_filter(spark, d):
+    w = adapters.works(spark, d).select("ord", "title", "year", F.col("z").alias("true_z"), verdict(F.col("z") * 0.5).alias("verdict"))
+    return works.filter_comparison(w, " cOLD", "expect").drop("ord")
+
+
+@query
+def works_by_tier(spark, d):
+    w = adapters.works(spark, d).withColumn("deviation_score", deviation(F.col("z"))).withColumn("tier", score_tier(F.col("deviation_score")))
+    return works.browse(w, adapters.credits(spark, d), tier="A+", era="1980s", size=40).select("work_id", "title", "year", "deviation_score", "tier")
+
+
+@query
+def standardise_known(spark, d):
+    """z of given biases, years without statistics by the global ones."""
+    s = bias_and_era(spark, d)
+    rows = adapters.works(spark, d).select("work_id", F.when(F.col("ord") % 3 == 0, 1900).otherwise(F.col("year")).alias("year"), F.lit(1.5).alias("b"))
+    return era.standardise_known(rows, s["stats"], s["overall"]).select("work_id", rnd(F.col("z"), 5).alias("z"))
 
 
 @query
@@ -312,7 +432,7 @@ def uncollected_filter(spark, d):
 
 @query
 def person_works(spark, d):
-    """Works of each person with their roles, over the first 100 persons by name (a look-up of the client)."""
+    """Works of each person with their roles."""
     c = adapters.credits(spark, d)
     return c.groupBy("name", "work_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("role"))).alias("roles"))
 
@@ -348,10 +468,45 @@ def shap_top_factors(spark, d):
     return model.top_factors(model.attribute(m, fitted))
 
 
+@query
+def shap_shown(spark, d):
+    m, fitted = _trained(spark, d)
+    return model.labelled(model.shown_factors(model.attribute(m, fitted)))
+
+
+@query
+def shap_adds_up(spark, d):
+    """Works whose attributions and base don't add up to the prediction: none."""
+    m, fitted = _trained(spark, d)
+    told = model.attribute(m, fitted).groupBy("work_id").agg((F.sum("shap") + F.first("base_value")).alias("told"))
+    return model.predict(m, fitted).join(told, "work_id").where(F.abs(F.col("told") - F.col("predicted_z")) > 1e-6).select("work_id")
+
+
+@query
+def fallback_attribution(spark, d):
+    """Attribution by the weights of features alone."""
+    weights = spark.createDataFrame([(f, float(k % 5)) for k, f in enumerate(history.FEATURES)], "feature string, importance double")
+    return model.fallback_attribution(adapters.works(spark, d).select("work_id", F.col("z").alias("predicted_z")), weights, 0.25).select("work_id", "feature", rnd(F.col("shap"), 7).alias("shap"))
+
+
 @query
 def feature_importances(spark, d):
     m, fitted = _trained(spark, d)
-    return model.importances(fitted, spark)
+    return model.labelled(model.importances(fitted, spark))
+
+
+@query
+def work_detail(spark, d):
+    """One work in whole: scores, ranks, prediction with its factors, and staff."""
+    w, c = adapters.works(spark, d), adapters.credits(spark, d)
+    m, fitted = _trained(spark, d)
+    s = bias_and_era(spark, d)
+    predicted = model.predict(m, fitted).select("work_id", "predicted_z")
+    listed = works.comparison(w.join(predicted, "work_id", "left"), s["model"]["items"], s["stats"], s["model"]["mean"], s["overall"]).where("work_id = '12'")
+    factors = model.top_factors(model.attribute(m.where("work_id = '12'"), fitted))
+    sides = factors.groupBy("work_id").pivot("side", ["positive", "negative"]).agg(F.array_sort(F.collect_list(F.struct("place", "feature", "value", "shap"))))
+    team = c.where("work_id = '12'").groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("role", "pos", "name"))).alias("staff"))
+    return listed.join(sides, "work_id", "left").join(team, "work_id", "left")
 
 
 @query
@@ -380,10 +535,36 @@ def page_lines(spark, d):
     return lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.trim("line").alias("line")).where("line <> ''")
 
 
+def _pages(spark, d):
+    """Wiki pages made of the catalogue's documents: main staff first, then each episode under its header."""
+    meta = table(spark, d, "anime_metadata").select("work_id", "title", "year", "staff").distinct()
+    c = nested.flatten_credits(meta)
+    head = F.element_at(F.create_map(*[F.lit(x) for pair in wiki.PAGE_HEADERS.items() for x in pair]), F.col("role"))
+    lines = c.where(head.isNotNull()).groupBy("work_id", "ep_pos", "ep_num", head.alias("head")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda e: e["name"]), "、").alias("names"))
+    blocks = lines.groupBy("work_id", "ep_pos", "ep_num").agg(F.array_join(F.array_sort(F.collect_list(F.concat("head", F.lit("："), "names"))), "<br>").alias("body"))
+    block = F.concat(F.when(F.col("ep_pos") > 0, F.concat(F.lit("第"), F.col("ep_num").cast("string"), F.lit("話「」<br>"))).otherwise(""), "body")
+    area = blocks.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ep_pos", block.alias("b")))), lambda e: e["b"]), "<br>").alias("area"))
+    html = F.concat(F.lit("<title>"), F.coalesce("title", F.lit("")), F.lit('</title><div class="user-area">'), F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit("年 全12話<br>"), "area", F.lit("</div>"))
+    return meta.join(area, "work_id").select(F.regexp_extract("work_id", r"(\d+)$", 1).cast("long").alias("page_id"), html.alias("html"))
+
+
 @query
 def episode_credits(spark, d):
-    pages = table(spark, d, "seesaa_client").select("page_id", F.concat(F.lit("<title>"), F.coalesce("title", F.lit("")), F.lit('</title><div class="user-area">第1話<br>原画：'), F.coalesce(F.regexp_extract("staff", '"director": \\["([^"]+)"', 1), F.lit("")), F.lit("</div>")).alias("html")).distinct()
-    return wiki.credits(pages)
+    return wiki.credits(_pages(spark, d))
+
+
+@query
+def clean_names(spark, d):
+    """The names of boards that pass as names of persons."""
+    names = table(spark, d, "leaderboards").select(F.trim("n").alias("name")).where("name <> ''").distinct()
+    return names.where(wiki.is_clean_name(F.col("name")))
+
+
+@query
+def split_names(spark, d):
+    """Names in the titles of pages, as the scanner splits a value."""
+    t = table(spark, d, "seesaa_client").select("page_id", "title").where("title is not null").distinct()
+    return t.select("page_id", F.posexplode(wiki.split_value(F.col("title"))).alias("pos", "name"))
 
 
 @query
@@ -393,10 +574,26 @@ def animator_participation(spark, d):
     return wiki.participation(rows)
 
 
+def _titles(spark, d):
+    t = table(spark, d, "anime_metadata").select("title").unionByName(table(spark, d, "anilist_client").select(F.col("title_native").alias("title")))
+    return t.where("title is not null").distinct()
+
+
 @query
 def text_forms(spark, d):
-    docs = table(spark, d, "part").select("p_partkey", "p_name")
-    return docs.select("p_partkey", text.search_form(F.col("p_name")).alias("search"), text.title_form(F.col("p_name")).alias("title"), text.client_form(F.col("p_name")).alias("client"), text.candidate_form(F.col("p_name")).alias("candidate"), F.array_join(text.subtitles(F.col("p_name")), " ").alias("subtitles"))
+    t = F.col("title")
+    return _titles(spark, d).select("title", text.client_form(t).alias("client"), text.candidate_form(t).alias("candidate"), F.array_join(text.subtitles(t), " ").alias("subtitles"))
+
+
+#: Titles that compatibility composition leaves as they are.
+PLAIN_TITLE = "^[\\x20-\\x7e\\x{3001}-\\x{3015}\\x{3041}-\\x{3094}\\x{30a1}-\\x{30fe}\\x{4e00}-\\x{9fff}]*$"
+
+
+@query
+def search_forms(spark, d):
+    """Search and title forms of the titles whose composition SQL can follow; the others are tested apart."""
+    t = F.col("title")
+    return _titles(spark, d).where(t.rlike(PLAIN_TITLE)).select("title", text.search_form(t).alias("search"), text.title_form(t).alias("form"))
 
 
 @query
@@ -408,10 +605,13 @@ def title_match_best(spark, d):
 
 @query
 def candidate_scoring(spark, d):
-    w = adapters.works(spark, d)
-    q = w.select(F.col("ord").alias("q_id"), "title", "year", (F.col("ord") % 30).cast("int").alias("episodes"), F.when(F.col("ord") % 5 == 0, "MOVIE").otherwise("TV").alias("format"))
-    c = w.select(F.col("ord").alias("c_ord"), F.col("ord").alias("c_id"), F.col("title").alias("c_name"), F.col("title_en").alias("c_name_cn"), F.concat(F.col("year").cast("string"), F.lit("-04-01")).alias("c_date"), (F.col("ord") % 26).cast("int").alias("c_eps"))
-    return matching.score_candidates(q.join(c, F.floor(F.col("q_id") / 8) == F.floor(F.col("c_id") / 8)))
+    """The best entry of the catalogue for each work among those that a search by its title finds."""
+    q = table(spark, d, "anime_metadata").where("title is not null").select(F.col("work_id").alias("q_id"), "title", "year", "episodes", "format").distinct()
+    c = table(spark, d, "anilist_client").where("title_native is not null").select(
+        F.col("anilist_id").alias("c_ord"), F.col("anilist_id").alias("c_id"), F.col("title_native").alias("c_name"), F.coalesce("title_english", F.lit("")).alias("c_name_cn"),
+        F.when(F.col("year") > 0, F.concat(F.col("year").cast("string"), F.lit("-04-01"))).alias("c_date"), F.col("episodes").alias("c_eps"),
+    ).distinct()
+    return matching.score_candidates(matching.search_candidates(q, c))
 
 
 @query
@@ -434,12 +634,14 @@ def export_leaderboards(spark, d):
 @query
 def export_works(spark, d):
     out = export.works(_records(spark, d), adapters.works(spark, d), adapters.credits(spark, d))
-    return out.withColumn("director", F.array_join("director", ",")).withColumn("genga", F.array_join("genga", ","))
+    listed = [c for c, t in out.dtypes if t.startswith("array")]
+    return out.select(*[c for c in out.columns if c not in listed], *[F.coalesce(F.array_join(F.transform(c, lambda e: F.concat_ws("|", e["name"], e["rt"], e["ct"])), ","), F.lit("")).alias(c) for c in listed])
 
 
 @query
 def export_profiles(spark, d):
-    return export.profiles(_records(spark, d))
+    p = export.profiles(_records(spark, d))
+    return p.select("name", "total_works", "bayesian_rating", "career_cumulative_z", "overall_rank", "cumulative_rank", "primary_role", "overall_rating_tier", "overall_cum_tier", _flat("all_role_stats", _ROLE_STATS), _flat("best_works", ["work_id", "year", "role", "z_score"]), _flat("career_trajectory", ["year", "work_id", "role", "z_score"]))
 
 
 @query

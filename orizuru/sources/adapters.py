@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from orizuru.operators import nested
 from orizuru.session import table
 
 ROLES = ("director", "series_comp", "char_design", "unit_director", "sakkan", "music", "art_dir", "genga", "studio")
@@ -53,3 +54,29 @@ def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("double").alias("rank"),
         (10 * F.col("l_discount")).alias("ep_ratio"),
     )
+
+
+#: What a missing year counts as, when works are listed and when their history is taken.
+LISTED_YEAR, HISTORY_YEAR = 2020, 0
+
+
+def works_of(metadata: DataFrame) -> DataFrame:
+    """Catalogued works as the engine's works, each once: ord (the number in the id), work_id, title, title_en, year,
+    listed_year, raw_score, format, episodes, anilist_id, bangumi_id. A missing score is null, a missing title the id."""
+    return metadata.select(
+        F.coalesce(F.regexp_extract("work_id", r"(\d+)$", 1).try_cast("long"), F.lit(0)).alias("ord"), "work_id", F.coalesce("title", "work_id").alias("title"), F.coalesce("title_en", F.lit("")).alias("title_en"),
+        F.coalesce("year", F.lit(HISTORY_YEAR)).alias("year"), F.coalesce("year", F.lit(LISTED_YEAR)).alias("listed_year"), F.col("anilist_mean_score").alias("raw_score"), "format", "episodes", "anilist_id", "bangumi_id",
+    ).distinct()
+
+
+def credits_of(metadata: DataFrame, maps: bool = True) -> DataFrame:
+    """Credits of the works (not of their episodes) as the engine's credits, each once: a missing rank is the place in
+    the list, a missing share 1. Names that are keys of a map have place 0 and rank 1 unless they bring one; the
+    records of persons leave them out (`maps=False`), the features keep them."""
+    rows = nested.flatten_credits(metadata).where("ep_pos = 0")
+    rows = rows if maps else rows.where("pos > 0")
+    genga = F.col("role") == "genga"
+    return rows.select(
+        F.coalesce(F.regexp_extract("work_id", r"(\d+)$", 1).try_cast("long"), F.lit(0)).alias("work_ord"), "work_id", "role", F.col("pos").cast("int").alias("pos"), "name",
+        F.when(genga, F.coalesce("rank", F.greatest("pos", F.lit(1)).cast("double"))).otherwise(1.0).alias("rank"), F.when(genga, F.coalesce("ep_ratio", F.lit(1.0))).otherwise(1.0).alias("ep_ratio"),
+    ).distinct()

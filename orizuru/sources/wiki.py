@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Role headers of pages and the roles they feed.
@@ -22,12 +22,40 @@ HEADERS = {
 }
 #: Headers that end a role without feeding one.
 RESET = ("第二原画", "動画", "仕上", "背景", "撮影", "編集", "動画検査", "色彩設計")
+#: How an episode begins.
 EPISODE = re.compile(r"^(?:第\s*(\d+)\s*話|#\s*(\d+)|(\d+)\s*話|(?:EPISODE|Episode|episode)\s*(\d+)|第\s*(\d+)\s*回|(?:ep|EP)\.?\s*(\d+))")
 FOOTNOTE = re.compile(r"[*＊]\d+|\[[^\]]*\]")
-NAME_BREAK = re.compile(r"[\s、,，/／・]+")
-NOTE = re.compile(r"[（(][^）)]*[）)]")
-BAD_NAME = re.compile(r"[0-9０-９!！?？:：「」『』。.…]")
-GOOD_NAME = re.compile(r"^[぀-ヿ一-鿿々A-Za-z]{2,10}$")
+QUOTED = re.compile(r"[*＊]\d+|\[.*?\]|（.*?）|\(.*?\)|「.*?」|『.*?』")
+NAME_BREAK = re.compile(r"[\s\u3000、,，/／・&＆]+")
+GOOD_NAME = re.compile(r"[぀-ヿ一-鿿 A-Za-z]{2,10}")
+#: What no name of a person holds (in lower case) - works' terms, roles and departments, companies.
+NO_NAME = (
+    "話 放送 放映 サブタイトル タイトル クール パート op ed mission stage act episode ノンクレジット ほか 他 連載 原作 製作 制作進行 プロデューサー 委員会 アバン アイキャッチ 予告 提供 "
+    "絵コンテ コンテ 演出 脚本 作画 原画 動画 美術 撮影 音響 効果 色彩 仕上 編集 制作 宣伝 進行 設定 デザイン デザイナー プロデュース 監督 作監 総作監 キャラデザ シリーズ構成 構成 シナリオ "
+    "キャスト cast 文芸 選曲 録音 整音 特効 アクション コンセプト アート ビジュアル エフェクト メカニック メカ プロップ サブキャラクター チーフ メイン エピソード シリーズ スーパーバイザー "
+    "ディレクター アニメーション アニメーター ピクセル vfx 3dcg cg モデリング リギング 色指定 検査 series director composition producer designer design chief assistant concept action art visual "
+    "effect supervisor animation animator character staff credit original story screenplay script music sound editing editor"
+).split()
+NO_PERSON = (
+    "スタジオ プロダクション フィルム じゃんぐるじむ わあぷ アニメアール コア ピクチャーズ コミックス 小学館 集英社 講談社 キティ オフィス 工房 グループ アトリエ メカマン ヤマト "
+    "エンタテインメント ピエロ ぴえろ サンライズ 東映 マッドハウス ボンズ シャフト ガイナックス トリガー ユーフォーテーブル"
+).split()
+#: Headers that a page gives to the roles.
+PAGE_HEADERS = {"director": "監督", "series_comp": "シリーズ構成", "char_design": "キャラクターデザイン", "unit_director": "演出", "sakkan": "作画監督", "music": "音楽", "art_dir": "美術監督", "genga": "原画", "conte_enshutsu": "絵コンテ"}
+LOOK_AHEAD = 5  # a header without a value looks for names in so many lines after it
+_NO_NAME = re.compile("|".join(map(re.escape, sorted(NO_NAME, key=len, reverse=True))))
+_NO_PERSON = re.compile("|".join(map(re.escape, NO_PERSON)))
+
+
+def is_clean_name(name: Column) -> Column:
+    """Whether a text passes as the name of a person: two to ten letters, no digit or sign, no word of NO_NAME or NO_PERSON."""
+    return name.rlike(f"^{GOOD_NAME.pattern}$") & ~F.lower(name).rlike(_NO_NAME.pattern) & ~name.rlike(_NO_PERSON.pattern)
+
+
+def split_value(value: Column) -> Column:
+    """Clean names of a credit value in order: notes and quotes off, split at spaces, commas, slashes and dots."""
+    parts = F.split(F.regexp_replace(value, QUOTED.pattern, ""), NAME_BREAK.pattern)
+    return F.filter(parts, is_clean_name)
 
 
 class _Area(HTMLParser):
@@ -63,9 +91,9 @@ class _Area(HTMLParser):
 
 
 def split_names(value: str) -> list[str]:
-    """Clean person names of a credit value: notes off, split at spaces, commas, slashes and dots."""
-    parts = NAME_BREAK.split(NOTE.sub(" ", value))
-    return [p for p in parts if GOOD_NAME.match(p) and not BAD_NAME.search(p)]
+    """`split_value` of one text."""
+    parts = NAME_BREAK.split(QUOTED.sub("", value))
+    return [p for p in parts if GOOD_NAME.fullmatch(p) and not _NO_NAME.search(p.lower()) and not _NO_PERSON.search(p)]
 
 
 def _header(line: str) -> tuple[list[str], str] | None:
@@ -90,7 +118,7 @@ def scan(page: str) -> dict:
     head = lines[:35]
     year = next((int(m[1]) for x in head for m in [re.search(r"((?:19|20)\d{2})\s*年", x) or re.search(r"((?:19|20)\d{2})[/.-]\d{1,2}", x)] if m), 0)
     total = next((int(m[1]) for x in head for m in [re.search(r"全\s*(\d+)\s*話", x)] if m), 12)
-    out, episode, roles, count = [], 0, [], {}
+    out, episode, roles, count, ahead = [], 0, [], {}, 0
     single = not any(EPISODE.match(x) for x in lines)
     for raw in lines:
         line = FOOTNOTE.sub("", raw).strip()
@@ -101,11 +129,15 @@ def scan(page: str) -> dict:
         found = _header(line)
         if found:
             roles, value = found
-        elif roles:
-            value = line
+            ahead = LOOK_AHEAD if not value else 0
+        elif roles and (ahead or episode):
+            value, ahead = line, ahead - 1
         else:
             continue
-        for name in split_names(value):
+        names = split_names(value)
+        if names and not episode and not found:
+            ahead = 0  # the names of a header stand in one of the lines after it
+        for name in names:
             for role in roles:
                 key = episode, role
                 count[key] = count.get(key, 0) + 1

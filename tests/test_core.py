@@ -114,6 +114,106 @@ def test_scalar_goldens(spark):
     assert f(text.year_of_date(F.lit("2013-04-06"))) == 2013 and f(text.year_of_date(F.lit("n/a"))) is None
 
 
+def test_white_space_of_all_kinds(spark):
+    f = lambda c: spark.range(1).select(c.alias("v")).first().v
+    for s in ("　", " ", " ", "\x1c", "\x85", " ", "\t"):
+        t = f"進撃{s}の巨人{s}"
+        assert f(text.client_form(F.lit(t))) == f(text.title_form(F.lit(t))) == "進撃の巨人" and f(text.candidate_form(F.lit(t))) == "進撃 の巨人"
+        assert text.client_form_of(t) == "進撃の巨人"
+    for t in ("ＡＢＣ・ゑ ｱ", "ヱヴァンゲリヲン：序", "", "ゔ〜Ⅳ"):
+        assert text.client_form_of(t) == f(text.client_form(F.lit(t))) and text.search_form_of(t) == f(text.search_form(F.lit(t)))
+    assert f(X.rnd(F.lit(0.4999995), 0)) == 0.0 and f(X.rnd(F.lit(0.5), 0)) == 1.0
+
+
+def test_places_of_hot_groups_and_ties(spark):
+    from orizuru.operators.ranking import first_placed, placed
+
+    rows = [("hot" if i % 3 else f"g{i % 7}", float(i % 2), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double, i int").repartition(9)
+    got = {r.i: (r.k, r.n) for r in placed(df, [F.col("v").desc(), "i"], "k", ["g"], "n").collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in mine] == [(k, len(mine)) for k in range(1, len(mine) + 1)]
+    whole = {r.i: r.k for r in placed(df, [F.col("v").desc(), "i"], "k").collect()}
+    assert [i for i, _ in sorted(whole.items(), key=lambda x: x[1])] == [r[2] for r in sorted(rows, key=lambda r: (-r[1], r[2]))]
+    assert placed(df.limit(0), ["i"], "k", total="n").count() == 0
+    assert [(r.i, r.k) for r in first_placed(df, ["i"], "k", 3).orderBy("k").collect()] == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_plans_hold_at_scale(spark, tables):
+    _, _, scored, credits = tables
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = staff.records(credits, scored)
+    for df in (staff.overall_ranks(staff.ratings(rows)), staff.role_ranks(staff.ratings(rows)), works.ranks(scored.withColumn("predicted_z", F.col("z"))), export.boards(rows)):
+        assert "row_number" not in plan(df)  # no window over persons or works
+    assert plan(era.year_stats(scored.select("year", F.col("z").alias("b")))).count("NestedLoopJoin") <= 1  # the one row of all items
+
+
+def test_profiles_boards_and_fallbacks(spark, tables):
+    _, _, scored, credits = tables
+    rows = staff.records(credits, scored)
+    p = staff.profile(rows, "Q").first()
+    assert p.total_works == 5 and p.primary_role == "sakkan" and [w.work_id for w in p.best_works] == ["A", "A", "D"] and len(p.career_trajectory) == 5
+    assert staff.profile(rows, "nobody").count() == 0
+    board = export.boards(rows)
+    assert [(r.n, r.shown) for r in staff.board_page(board.where("board = 'all'"), "", "rk", 2, 2).orderBy("shown").collect()] == [("R", 3), ("P", 4)]
+    assert [(r.n, r.rk, r.shown) for r in staff.board_page(board.where("board = 'all'"), " r ", "ck").collect()] == [("R", 3, 1)]
+    assert {r.n: r.primary_role for r in staff.fallback_roles(board).collect()}["T"] == "genga"
+    lower = staff.leaderboard(rows, "director", pseudo={"director": 0.0}).where("name = 'R'").first()
+    assert lower.bayesian_rating == pytest.approx(0.906)
+
+
+def test_features_kept_and_completed(spark, tables):
+    _, _, scored, credits = tables
+    whole = history.feature_matrix(credits, scored)
+    known = whole.where("work_id in ('A', 'B')").withColumn("genga_max_s", F.lit(9.0))
+    got = {r.work_id: r for r in history.complete_matrix(known, credits, scored).collect()}
+    want = {r.work_id: r for r in whole.collect()}
+    assert got["A"].genga_max_s == 9.0 and got["C"].director_bayesian_s == pytest.approx(want["C"].director_bayesian_s) and set(got) == set("ABCD")
+
+
+def test_export_writes_documents(spark, tables, tmp_path):
+    _, _, scored, credits = tables
+    export.write_all(staff.records(credits, scored), scored, credits, str(tmp_path))
+    boards = spark.read.json(str(tmp_path / "leaderboards"))
+    assert {"n", "w", "r", "z", "rk", "ck", "rt", "ct", "bt", "by", "bz", "board"} == set(boards.columns)
+    assert {r.work_id for r in spark.read.json(str(tmp_path / "works")).collect()} == set("ABCD")
+    assert spark.read.json(str(tmp_path / "profiles")).where("name = 'Q'").first().all_role_stats[0].role == "sakkan"
+    assert spark.read.json(str(tmp_path / "summary")).first().total_works == 4
+
+
+def test_documents_become_works_and_credits(spark):
+    from orizuru.sources import adapters
+
+    doc = json.dumps({"director": [" A ", {"name": "B"}], "genga": [{"name": "C", "rank": 3}, "", {"name": "D", "ep_ratio": 0.2}], "studio": "S", "episodes": [{"ep_num": 1, "genga": ["no"]}]})
+    rows = [("anime_7", "T", None, None, 71.0, doc, 1), ("anime_7", "T", None, None, 71.0, doc, 1), ("x", None, "E", 2001, None, '{"genga": {"F": 0.5, "G": {"rank": 2}}}', 2), ("anime_9", "U", None, 1999, 50.0, None, 3)]
+    meta = spark.createDataFrame(rows, "work_id string, title string, title_en string, year int, anilist_mean_score double, staff string, role int").select("*", F.lit("TV").alias("format"), F.lit(12).alias("episodes"), F.lit(1).cast("long").alias("anilist_id"), F.lit(2).cast("long").alias("bangumi_id"))
+    assert sorted((r.ord, r.work_id, r.title, r.year, r.listed_year) for r in adapters.works_of(meta).collect()) == [(0, "x", "x", 2001, 2001), (7, "anime_7", "T", 0, 2020), (9, "anime_9", "U", 1999, 1999)]
+    got = {(r.work_id, r.role, r.pos, r.name, r["rank"], r.ep_ratio) for r in adapters.credits_of(meta).collect()}
+    assert got == {("anime_7", "director", 1, "A", 1.0, 1.0), ("anime_7", "director", 2, "B", 1.0, 1.0), ("anime_7", "genga", 1, "C", 3.0, 1.0), ("anime_7", "genga", 3, "D", 3.0, 0.2), ("anime_7", "studio", 1, "S", 1.0, 1.0), ("x", "genga", 0, "F", 1.0, 0.5), ("x", "genga", 0, "G", 2.0, 1.0)}
+    assert {r.name for r in adapters.credits_of(meta, maps=False).where("work_id = 'x'").collect()} == set()
+
+
+def test_search_and_fallback_attribution(spark):
+    q = spark.createDataFrame([(1, "青空 Windmill"), (2, "ひとり"), (3, "zz")], "q_id int, title string")
+    c = spark.createDataFrame([(5, "Windmill 空"), (6, "青空 Windmill"), (7, "青空")], "c_id int, c_name string")
+    assert {(r.q_id, r.c_id) for r in matching.search_candidates(q, c).collect()} == {(1, 5), (1, 6)}
+    weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "feature string, importance double")
+    got = {r.feature: r.shap for r in model.fallback_attribution(spark.createDataFrame([("w", 0.9)], "work_id string, predicted_z double"), weights, 0.1).collect()}
+    assert got == pytest.approx({"a": 0.2, "b": 0.6}, abs=1e-5)
+    assert len(model.labels()) == 34 and model.labelled(weights).where("feature = 'a'").first().label == "a"
+
+
+def test_refresh_fits_anew(spark, tables, tmp_path):
+    from orizuru.plans import snapshot
+
+    _, _, scored, credits = tables
+    ratings = spark.createDataFrame(RATINGS, "user_id bigint, item_id string, score double")
+    new = scored.drop("z").where("work_id = 'A'").withColumn("title", F.lit("A2")).select("ord", "work_id", "title", "title_en", "year", "raw_score")
+    s = snapshot.refresh(scored.drop("z"), credits, new, ratings, ratings.where("user_id = 1"), str(tmp_path / "out"), max_iter=2, trees=2)
+    assert s.works.where("work_id = 'A'").first().title == "A2" and s.biases["n"] == 9 and (tmp_path / "out" / "summary").exists()
+
+
 def test_candidates_golden(spark):
     rows = [(1, "進撃の巨人", 2013, 25, None, 1, 10, "進撃の巨人", "进击的巨人", "2013-04-06", 25), (1, "進撃の巨人", 2013, 25, None, 2, 11, "進撃の巨人 Season 2", "", "2017-04-01", 12)]
     df = spark.createDataFrame(rows, "q_id int, title string, year int, episodes int, format string, c_ord int, c_id int, c_name string, c_name_cn string, c_date string, c_eps int")
@@ -176,6 +276,11 @@ def test_wiki_page(spark):
     assert (read["title"], read["year"], read["total_episodes"]) == ("作品名", 2013, 4)
     assert (0, "director", 1, "山田太郎") in read["credits"] and (1, "genga", 3, "田中次郎") in read["credits"] and (2, "sakkan", 1, "佐藤花子") in read["credits"]
     assert not any(n == "無視される" for *_, n in read["credits"])
+    ahead = """<title>T</title><div class="user-area">キャラクターデザイン<br>CHARACTER DESIGN<br>山田太郎<br>高橋花子<br>監督：スタジオ山、原画田、鈴木一（仮）、A1、あ<br>シリーズ構成<br>x1<br>x2<br>x3<br>x4<br>x5<br>佐藤次郎<br>第1話<br>作画監督：田中、中村<br>第2話<br>原画：中村 田中<br>西村<br>動画<br>東山</div>"""
+    found = wiki.scan(ahead)["credits"]
+    assert [(e, r, n) for e, r, _, n in found] == [(0, "char_design", "山田太郎"), (0, "director", "鈴木一"), (1, "sakkan", "田中"), (1, "sakkan", "中村"), (2, "genga", "中村"), (2, "genga", "田中"), (2, "genga", "西村")]
+    value = "山田 太郎（仮）「題」、Sunny, 田中監督/A1・ｱ 東映子"
+    assert wiki.split_names(value) == spark.range(1).select(wiki.split_value(F.lit(value)).alias("v")).first().v == ["山田", "太郎", "Sunny"]
     assert wiki.scan("")["credits"] == [] and wiki.scan("<p>x</p>")["year"] == 0
     rows = spark.createDataFrame([(1, 4, 1, 1, "X"), (1, 4, 1, 2, "Y"), (1, 4, 2, 1, "Y"), (1, 4, 2, 2, "X")], "page_id int, total_episodes int, ep_num int, pos int, name string")
     assert {(r["name"], r["rank"], r.ep_ratio) for r in wiki.participation(rows).collect()} == {("X", 1.5, 0.5), ("Y", 1.5, 0.5)}
@@ -200,7 +305,18 @@ def test_model_attribution_adds_up(spark):
     assert {r.work_id: r.v for r in shap.collect()} == pytest.approx(predicted)
     # exact values: the mean over both orders of fixing the two features
     trees, x = model._trees(fitted), np.array(rows[3][1:3])
-    value = lambda known: sum(model._expected(t, x, known) for t in trees)
+
+    def expected(t, known, at=0):
+        """Mean of the leaves where the features in the bit set are fixed to x and the others follow the cover."""
+        f, left, right = int(t["feature"][at]), t["left"][at], t["right"][at]
+        if f < 0:
+            return t["value"][at]
+        if known >> f & 1:
+            return expected(t, known, left if x[f] <= t["threshold"][at] else right)
+        wl, wr = t["cover"][left], t["cover"][right]
+        return (wl * expected(t, known, left) + wr * expected(t, known, right)) / (wl + wr)
+
+    value = lambda known: sum(expected(t, known) for t in trees)
     want = {"a": 0.5 * (value(1) - value(0) + value(3) - value(2)), "b": 0.5 * (value(2) - value(0) + value(3) - value(1))}
     assert {r.feature: r.shap for r in model.attribute(m.where("work_id = 'w3'"), fitted, ["a", "b"]).collect()} == pytest.approx(want)
 
