@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orizuru.session import cut
+from orizuru.session import cut, laid_out
 
-ROUNDS_A_CUT = 5
+ROUNDS_A_CUT = 1  # longer plans cost more to make than a small table of biases to write
 
 def residuals(ratings: DataFrame) -> tuple[DataFrame, float, int]:
     """(user_id, item_id, n, s, s2): count, sum and square sum of score - mean; the mean; the number of ratings."""
@@ -25,14 +25,28 @@ def residuals(ratings: DataFrame) -> tuple[DataFrame, float, int]:
     return pairs, head["mean"], head.n
 
 
-def _step(laid: DataFrame, known: DataFrame | None, key: str, other: str, regular: float) -> DataFrame:
-    """New biases of `key`; `laid` holds the pairs by `other`, so that the biases come to them and no pair moves."""
+def _laid(pairs: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs laid out by (key, salt), and the hot keys with their number of salts. A key with more pairs than a
+    partition should hold is salted by the other side; there are at most as many such keys as partitions."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = F.broadcast(pairs.agg(F.count("*").alias("all")))  # one row
+    hot = pairs.groupBy(key).agg(F.count("*").alias("c")).join(total).where(F.col("c") * parts > F.col("all"))
+    hot = cut(hot.select(key, F.lit(parts).alias("salts")))
+    salt = F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")
+    return laid_out(pairs.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("salts"), key, "salt"), hot
+
+
+def _step(laid: DataFrame, hot: DataFrame, known: DataFrame | None, key: str, other: str, regular: float) -> DataFrame:
+    """New biases of `key`; `laid` holds the pairs by `other` (and salt, for the `hot` ones), so that the
+    biases come to them and no pair moves."""
     b = "b_u" if key == "user_id" else "b_i"
     if known is None:
         part = laid.withColumn("d", F.col("s"))
     else:
         old = "b_i" if b == "b_u" else "b_u"
-        part = laid.join(known, other).withColumn("d", F.col("s") - F.col("n") * F.col(old))
+        salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+        salted = known.join(F.broadcast(hot), other, "left").select(other, old, salts)
+        part = laid.join(salted, [other, "salt"]).withColumn("d", F.col("s") - F.col("n") * F.col(old))
     return part.groupBy(key).agg((F.sum("d") / (F.sum("n") + F.lit(float(regular)))).alias(b))
 
 
@@ -46,18 +60,18 @@ def fit(ratings: DataFrame, max_iter: int = 40, tol: float | None = 1e-5, lambda
     """users (user_id, b_u), items (item_id, b_i), mean, losses. Stops once the loss changes by less than `tol`;
     with tol None all `max_iter` rounds run and no loss is computed before the last.
 
-    The pairs are laid out twice, by user and by item. The lineage is cut after each round where the loss is asked for,
+    The pairs are laid out twice, by user and by item, hot ones salted. The lineage is cut after each round where the loss is asked for,
     which reads both biases, and every `ROUNDS_A_CUT` rounds where it isn't."""
     pairs, mean, n = residuals(ratings)
     pairs = cut(pairs)
-    by_user, by_item = cut(pairs.repartition("user_id")), cut(pairs.repartition("item_id"))
+    by_user, by_item = _laid(pairs, "user_id", "item_id"), _laid(pairs, "item_id", "user_id")
     items, losses = None, []
     for k in range(max_iter):
         last = k == max_iter - 1
-        users = _step(by_item, items, "user_id", "item_id", lambda_user)
+        users = _step(*by_item, items, "user_id", "item_id", lambda_user)
         if tol is not None or last:
             users = cut(users)
-        items = _step(by_user, users, "item_id", "user_id", lambda_item)
+        items = _step(*by_user, users, "item_id", "user_id", lambda_item)
         if tol is not None or last or k % ROUNDS_A_CUT == ROUNDS_A_CUT - 1:
             items = cut(items)
         if tol is not None or last:

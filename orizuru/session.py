@@ -67,3 +67,15 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent).as_posix())
     sc.addPyFile(str(out))
     sc._orizuru_shipped = True
+
+
+def laid_out(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` by hash of `keys`, written once, so that later joins on them don't move it. Adaptive execution, which
+    forgets how a checkpoint is laid out, is off for this one write."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

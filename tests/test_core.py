@@ -54,6 +54,21 @@ def test_bias_edges(spark):
     assert one["mean"] == 5.0 and one["n"] == 2
 
 
+def test_bias_with_a_hot_user(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, f"i{k}", float(rng.integers(10, 100))) for k in range(300)] + [(1 + k % 60, f"i{k % 37}", float(rng.integers(10, 100))) for k in range(500)]
+    got = bias.fit(spark.createDataFrame(rows, "user_id bigint, item_id string, score double"), 3, None)
+    mean = np.mean([s for *_, s in rows])
+    u, i = {}, {}
+    for _ in range(3):
+        for mine, other, k, o in ((u, i, 0, 1), (i, u, 1, 0)):
+            sums = {}
+            for r in rows:
+                sums.setdefault(r[k], []).append(r[2] - mean - other.get(r[o], 0.0))
+            mine.update({key: sum(v) / (len(v) + 10.0) for key, v in sums.items()})
+    assert {r.user_id: r.b_u for r in got["users"].collect()} == pytest.approx(u) and {r.item_id: r.b_i for r in got["items"].collect()} == pytest.approx(i)
+
+
 def test_era_golden(tables):
     stats = {r.year: (r.mu, r.sigma, r.n) for r in tables[1].collect()}
     for y in (2000, 2001, 2003):
