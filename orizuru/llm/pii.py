@@ -58,9 +58,9 @@ ADDRESS = re.compile(
     r"|(?<![A-Za-z0-9])(?:(?:Flat|Apt|Unit|Suite)\.? \d+[A-Z]?, )?\d{1,5}[A-Za-z]? (?:[A-Z][a-z']+ ){1,3}(?:Street|Lane|Road|Avenue|Row|Close|Way|Terrace|Drive|Hill|Court|Place|Square|Gardens|Crescent|Boulevard|St|Rd|Ave|Ln)\b\.?(?:, (?:(?:Apt|Flat|Unit|Suite)\.? ?\w+|[A-Z][a-z]+(?: [A-Z][a-z]+)*(?: \d{4,5})?))*"
     rf"|[{_K}]{{2,4}}?市[{_K}]{{1,4}}?[区县][{_K}]{{1,8}}?[路街道巷]\d+号(?:\d+(?:单元|栋|楼|室|号))*"
 )
-NUMBER = re.compile(r"(?<![0-9０-９A-Za-z.,/:+＋-])(?:[A-Z]{2} ?)?(?:[+＋]?[(（]?)\d(?:[ .．\-－‐‑–−ー()（）]{0,2}\d){6,}(?: ?[A-DXx](?![A-Za-z]))?(?!\d)")
+NUMBER = re.compile(r"(?<![0-9０-９A-Za-z.,/+＋-])(?<!\d:)(?:[A-Z]{2} ?)?(?:[+＋]?[(（]?)\d(?:[ .．\-－‐‑–−ー()（）]{0,2}\d){6,}(?: ?[A-DXx](?![A-Za-z]))?(?!\d)")
 #: Identity numbers that begin with two letters; their form is evidence enough with six or seven digits.
-LETTERED = re.compile(r"(?<![0-9０-９A-Za-z.,/:+＋-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![0-9０-９A-Za-z])|[A-Z]{2}\d{7}(?![0-9０-９A-Za-z]))")
+LETTERED = re.compile(r"(?<![0-9０-９A-Za-z.,/+＋-])(?<!\d:)(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![0-9０-９A-Za-z])|[A-Z]{2}\d{7}(?![0-9０-９A-Za-z]))")
 _WORD = r"[A-Z][a-zà-ÿ]+|[A-Z]{2,}(?![a-z])"
 NAME = re.compile(
     rf"(?:{_WORD})(?:,? (?:[A-Z]\. )?|, )(?:{_WORD})(?: [A-Z]\.)?"
