@@ -26,6 +26,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs(names.classes(names.strings(spark, sf_dir)))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.counted(names.classes(names.strings(spark, sf_dir)))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.match(spark, sf_dir).select("page_id", "anilist_id")
 
@@ -59,7 +63,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_redacted": p9_redacted}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -118,35 +118,44 @@ def old_forms() -> dict[int, str]:
 
 
 class Readings:
-    """Reading of each kanji at each place of a part, fitted by expectation maximisation over (kana, kanji pairs)."""
+    """Reading of each kanji, at the beginning of a part and after it, fitted by expectation maximisation over (kana,
+    kanji of the part); a part may have any number of kanji."""
 
     def __init__(self):
         self.share: list[dict[str, dict[str, float]]] = [{}, {}]
         self.length: list[dict[int, float]] = [{}, {}]
 
     @staticmethod
-    def _splits(kana: str) -> list[tuple[str, str]]:
+    def _splits(kana: str, n: int) -> list[tuple[str, ...]]:
+        """All ways to cut `kana` into n readings."""
+        if n == 1:
+            return [(kana,)] if 0 < len(kana) <= 4 else []
         bad = "んゃゅょっー"
-        return [(kana[:i], kana[i:]) for i in range(1, len(kana)) if kana[i] not in bad and i <= 4 and len(kana) - i <= 4]
+        return [(kana[:i], *rest) for i in range(1, min(4, len(kana) - 1) + 1) if kana[i] not in bad for rest in Readings._splits(kana[i:], n - 1)]
 
     def fit(self, data: list[tuple[str, list[tuple[str, float]]]], rounds: int = 12) -> None:
-        """data: kana of a part and the kanji pairs it may belong to, with weights."""
+        """data: kana of a part and the kanji that it may belong to, with weights."""
+        cuts: dict[tuple[str, int], list[tuple[str, ...]]] = {}
         for n in range(rounds):
             new: list[dict] = [defaultdict(lambda: defaultdict(float)), defaultdict(lambda: defaultdict(float))]
-            for kana, pairs in data:
+            for kana, parts in data:
                 options = []
-                for pair, weight in pairs:
-                    if len(pair) != 2:
-                        continue
-                    for x, y in self._splits(kana):
-                        p = weight if not n else weight * self._p(0, pair[0], x) * self._p(1, pair[1], y)
-                        options.append((p, pair, x, y))
+                for part, weight in parts:
+                    key = kana, len(part)
+                    if key not in cuts:
+                        cuts[key] = self._splits(*key)
+                    for read in cuts[key]:
+                        p = weight
+                        if n:
+                            for k, (c, x) in enumerate(zip(part, read)):
+                                p *= self._p(min(k, 1), c, x)
+                        options.append((p, part, read))
                 total = sum(o[0] for o in options)
                 if total <= 0:
                     continue
-                for p, pair, x, y in options:
-                    new[0][pair[0]][x] += p / total
-                    new[1][pair[1]][y] += p / total
+                for p, part, read in options:
+                    for k, (c, x) in enumerate(zip(part, read)):
+                        new[min(k, 1)][c][x] += p / total
             for side in (0, 1):
                 total = defaultdict(float)
                 for d in new[side].values():
@@ -158,17 +167,15 @@ class Readings:
     def _p(self, side: int, kanji: str, kana: str) -> float:
         return (self.share[side].get(kanji, {}).get(kana, 0.0) + 1e-4) * self.length[side].get(len(kana), 1e-3)
 
-    def read(self, pair: str) -> str | None:
-        """The likeliest reading of two kanji in kana."""
-        if len(pair) != 2:
-            return None
-        best = []
-        for side, k in enumerate(pair):
-            options = self.share[side].get(k)
+    def read(self, part: str) -> str | None:
+        """The likeliest reading of a part in kana; None where one of its kanji was never heard."""
+        out = []
+        for k, c in enumerate(part or ""):
+            options = self.share[min(k, 1)].get(c)
             if not options:
                 return None
-            best.append(max(options, key=lambda x: (options[x], x)))
-        return best[0] + best[1]
+            out.append(max(options, key=lambda x: (options[x], x)))
+        return "".join(out) or None
 
 
 def osa(a: str, b: str, most: int = 1) -> int:
