@@ -44,7 +44,7 @@ ROUNDS = 6
 LEAST = 8  # candidates that a context needs to tell anything
 #: How far between the share of all documents with sure items and all of them a context's share has to lie.
 TELLS, DENIES = 0.25, 0.15
-VARIED = 0.1  # different strings, for each candidate, in a context that announces names
+DOMINANT = 0.4  # largest share of one string in a context that announces names
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _DOT = r"(?:\.|．|\s?[\[(（]\s?(?:dot|DOT)\s?[\])）]\s?|\s(?:dot|DOT)\s)"
@@ -363,8 +363,10 @@ def evidence(doc: np.ndarray, form: np.ndarray, known: np.ndarray, contexts: np.
     for k in range(contexts.shape[1]):
         _, key = np.unique(contexts[:, k], return_inverse=True)
         n = np.bincount(key) * (contexts[:, k] != 0)[np.unique(key, return_index=True)[1]]  # 0: no context
-        different = np.bincount(np.unique(np.stack([key, word], 1), axis=0)[:, 0], minlength=len(n))  # strings in the context
-        varied[:, k] = ((different >= 4) & (different >= VARIED * n))[key]
+        pairs, many = np.unique(np.stack([key, word], 1), axis=0, return_counts=True)  # strings in the context
+        top = np.zeros(len(n))
+        np.maximum.at(top, pairs[:, 0], many)
+        varied[:, k] = ((np.bincount(pairs[:, 0], minlength=len(n)) >= 4) & (top <= DOMINANT * n))[key]
         share[:, k] = ((np.bincount(key, company) + 2 * base) / (n + 2))[key]
         seen[:, k] = n[key]
         for j, label in enumerate((2, 3)):
