@@ -66,17 +66,22 @@ _similarity = F.udf(lambda a, b, least: None if a is None or b is None else simi
 
 def best_titles(queries: DataFrame, titles: DataFrame, threshold: float = 70.0, gram: int = 2) -> DataFrame:
     """queries (q_id, query) x titles (t_id, title) -> (q_id, t_id, score): the best title of each query, if it
-    reaches the threshold. Pairs meet over shared runs of two letters: two such runs (one for titles under four letters)
-    and lengths that leave the threshold possible."""
+    reaches the threshold. Equal forms meet as such. Other pairs meet over shared runs of two letters: two such runs, one
+    where the shorter has under seven letters, a shared letter where it has under four; and over lengths that leave the
+    threshold possible."""
     q = queries.select("q_id", text.title_form(F.col("query")).alias("a")).where("a <> ''")
     t = titles.select("t_id", text.title_form(F.col("title")).alias("b")).where("b <> ''")
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - gram + 1)), lambda i: F.substring(F.col(c), i, gram))))
     forms = t.groupBy("b").agg(F.min("t_id").alias("t_id"))  # equal forms score alike; the smallest id stands for them
     near = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b")) >= 0.45
+    least = F.least(F.length("a"), F.length("b"))
     met = q.select("q_id", "a", grams("a").alias("g")).join(forms.select("b", "t_id", grams("b").alias("g")), "g").where(near)
-    pairs = met.groupBy("q_id", "a", "b", "t_id").agg(F.count("*").alias("shared"))
-    pairs = pairs.where((F.col("shared") >= 2) | (F.least(F.length("a"), F.length("b")) < 4))
-    scored = pairs.withColumn("score", _similarity("a", "b", F.lit(threshold))).where(F.col("score") >= threshold)
+    pairs = met.groupBy("q_id", "a", "b", "t_id").agg(F.count("*").alias("shared")).where((F.col("shared") >= 2) | (least < 7)).drop("shared")
+    letters = lambda c: F.explode(F.array_distinct(F.split(c, ""))).alias("g")
+    reach = F.length("b") <= 7  # a title of under four letters and one that the lengths allow beside it
+    short = q.where(F.length("a") <= 7).select("q_id", "a", letters("a")).join(forms.where(reach).select("b", "t_id", letters("b")), "g").where(near & (least < 4)).drop("g")
+    equal = q.join(forms, F.col("a") == F.col("b")).select("q_id", "a", "b", "t_id")
+    scored = pairs.unionByName(short).unionByName(equal).distinct().withColumn("score", _similarity("a", "b", F.lit(threshold))).where(F.col("score") >= threshold)
     best = scored.groupBy("q_id").agg(F.max_by(F.struct("t_id", "score"), F.struct("score", -F.col("t_id"))).alias("m"))
     return best.select("q_id", "m.t_id", F.floor(F.col("m.score") * 100 + 0.5).alias("score_pct"))
 

@@ -236,6 +236,10 @@ def test_candidates_golden(spark):
     assert matching.score_candidates(df.where("c_id = 11")).count() == 0
     best = matching.best_titles(spark.createDataFrame([(1, "ぼっち・ざ・ろっく"), (2, "まったく別")], "q_id int, query string"), spark.createDataFrame([(5, "ぼっち・ざ・ろっく！"), (6, "ろっく")], "t_id int, title string"))
     assert [(r.q_id, r.t_id) for r in best.collect()] == [(1, 5)]
+    pairs = [("abcd", "axcd"), ("ああああ", "ああああ"), ("ab", "ac"), ("xyz", "xwz"), ("かきくけこ", "かきのけこ")]
+    near = matching.best_titles(spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "q_id int, query string"), spark.createDataFrame([(i, b) for i, (_, b) in enumerate(pairs)], "t_id int, title string"), threshold=60.0)
+    want = {i for i, (a, _) in enumerate(pairs) if max(matching.similarity(a, b) for _, b in pairs) >= 60}
+    assert {r.q_id for r in near.collect()} == want >= {0, 1, 3, 4}
 
 
 def test_relations(spark):
