@@ -41,32 +41,34 @@ def _pair(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
 
 
 class Counts:
-    """How often each code point and each hashed pair of code points occurs, and by which code each pair begins."""
+    """How often each code point and each hashed pair of code points occurs, and by which code each pair begins: the
+    used buckets in order, those of the points after those of the pairs."""
 
-    def __init__(self):
-        self.points = np.zeros(POINTS, np.int64)
-        self.pairs = np.zeros(MOST_PAIRS, np.int64)
-        self.begin = np.zeros(MOST_PAIRS, np.uint16)
+    def __init__(self, at: np.ndarray = (), n: np.ndarray = (), begin: np.ndarray = ()):
+        self.at, self.n, self.begin = np.array(at, np.int64), np.array(n, np.int64), np.array(begin, np.int32)
+
+    def _merge(self, at: np.ndarray, n: np.ndarray, begin: np.ndarray) -> None:
+        both, place, to = np.unique(np.concatenate([self.at, at]), return_index=True, return_inverse=True)
+        self.n = np.bincount(to, np.concatenate([self.n, n]), len(both)).astype(np.int64)
+        self.at, self.begin = both, np.concatenate([self.begin, begin])[place]
 
     def add(self, texts: list[str]) -> None:
         if not texts:
             return
         codes = np.minimum(join(texts), POINTS - 1)
         at, place, n = np.unique(_pair(codes[:-1], codes[1:], MOST_PAIRS), return_index=True, return_counts=True)
-        self.pairs[at] += n
-        self.begin[at] = codes[place]
-        self.points += np.bincount(codes, minlength=POINTS)
+        single, often = np.unique(codes, return_counts=True)
+        self._merge(np.concatenate([at, single.astype(np.int64) + MOST_PAIRS]), np.concatenate([n, often]), np.concatenate([codes[place], np.zeros(len(single))]).astype(np.int32))
 
     def rows(self) -> pa.RecordBatch:
-        """What is counted, as (bucket, begin, n); points have the buckets after those of the pairs."""
-        at, single = np.flatnonzero(self.pairs), np.flatnonzero(self.points)
-        begin = np.concatenate([self.begin[at], np.zeros(len(single))]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, single + MOST_PAIRS])), pa.array(begin), pa.array(np.concatenate([self.pairs[at], self.points[single]]))], names=["bucket", "begin", "n"])
+        """What is counted, as (bucket, begin, n)."""
+        return pa.RecordBatch.from_arrays([pa.array(self.at), pa.array(self.begin), pa.array(self.n)], names=["bucket", "begin", "n"])
 
     def less(self, other: Counts) -> Counts:
-        out = Counts()
-        out.points, out.pairs, out.begin = self.points - other.points, self.pairs - other.pairs, self.begin
-        return out
+        out = Counts(self.at, self.n, self.begin)
+        out._merge(other.at, -other.n, other.begin)
+        used = out.n > 0
+        return Counts(out.at[used], out.n[used], out.begin[used])
 
 
 class CharModel:
@@ -74,13 +76,16 @@ class CharModel:
 
     def __init__(self, counts: Counts):
         # one off each count: what a scored text itself brought to the training must not speak for it
-        pairs = np.maximum(counts.pairs - 1, 0)
-        kinds = np.bincount(counts.begin[counts.pairs > 0], minlength=POINTS)
-        while len(pairs) > LEAST_PAIRS and np.count_nonzero(pairs.reshape(2, -1).sum(0)) <= LOAD * len(pairs) / 2:
-            pairs = pairs.reshape(2, -1).sum(0)  # a bucket of the half table holds two of the whole one
-        self.pairs = pairs.astype(np.float32)
-        self.load = np.count_nonzero(pairs) / len(pairs)
-        self.points = np.maximum(counts.points - 1, 0).astype(np.float32)
+        pair = counts.at < MOST_PAIRS
+        at, n = counts.at[pair], np.maximum(counts.n[pair] - 1, 0)
+        kinds = np.bincount(counts.begin[pair], minlength=POINTS)
+        size, some = MOST_PAIRS, at[n > 0]
+        while size > LEAST_PAIRS and len(np.unique(some & (size // 2 - 1))) <= LOAD * size / 2:
+            size //= 2  # a bucket of the half table holds two of the whole one
+        self.pairs = np.bincount(at & (size - 1), n, size).astype(np.float32)
+        self.load = np.count_nonzero(self.pairs) / size
+        self.points = np.zeros(POINTS, np.float32)
+        self.points[counts.at[~pair] - MOST_PAIRS] = np.maximum(counts.n[~pair] - 1, 0)
         self.total = float(self.points.sum(dtype=np.float64)) + POINTS * 0.05
         self.own = (np.maximum(kinds, 1) + 3).astype(np.float32)
         self._low = ((self.points + 0.05) / self.total).astype(np.float32)
@@ -109,11 +114,8 @@ class CharModel:
 def collect(parts: DataFrame) -> Counts:
     """The sums of (bucket, begin, n); where pairs share a bucket one of their begins stands for all."""
     table = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("begin").alias("begin")).toArrow()
-    at, n = table.column("bucket").to_numpy(), table.column("n").to_numpy()
-    counts, pair = Counts(), at < MOST_PAIRS
-    counts.pairs[at[pair]], counts.points[at[~pair] - MOST_PAIRS] = n[pair], n[~pair]
-    counts.begin[at[pair]] = table.column("begin").to_numpy()[pair]
-    return counts
+    order = np.argsort(table.column("bucket").to_numpy())
+    return Counts(*(table.column(c).to_numpy()[order] for c in ("bucket", "n", "begin")))
 
 
 def count(df: DataFrame, text: str = "text") -> Counts:
