@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from orizuru.functions import text
 from orizuru.operators import matching, nested
-from orizuru.sources import wiki
+from orizuru.sources import store, wiki
 
 MAIN = ("director", "series_comp", "char_design", "unit_director", "sakkan", "music", "art_dir")
 STAFF = (*MAIN, "genga")
@@ -270,6 +270,21 @@ def all_sql() -> dict[str, str]:
     sql["real_feature_matrix"] = f"WITH {zs}, {as_credits}, {PAST}, {GENGA}, {ROLE} SELECT works.work_id, works.year, {gg.replace('1e6', '1e4')}, {wide4} FROM works LEFT JOIN gf ON gf.work_id = works.work_id LEFT JOIN rf ON rf.work_id = works.work_id GROUP BY works.work_id, works.year"
     items = lambda r, is_map: f"CASE coalesce(json_type(ep, '$.{r}'), 'NULL') WHEN 'ARRAY' THEN json_array_length(ep, '$.{r}') WHEN 'OBJECT' THEN {f'len(json_keys(ep, {chr(39)}$.{r}{chr(39)}))' if is_map else '1'} WHEN 'VARCHAR' THEN 1 ELSE 0 END"
     sql["p5_episodes"] = NESTED + f"SELECT DISTINCT work_id, ep_pos, CAST(json_extract(ep, '$.ep_num') AS BIGINT) AS ep_num, CAST({items('genga', True)} AS BIGINT) AS n_genga, CAST({items('sakkan', False)} AS BIGINT) AS n_sakkan FROM eps"
+    eras = ", ".join(f"({k}, {a}, {b}, {p * store.PER_PAGE})" for k, (a, b, p) in enumerate(store.ERAS))
+    top = store.POPULAR_PAGES * store.PER_PAGE
+    era_sql = f"""WITH e AS (SELECT DISTINCT anilist_id, year, coalesce(popularity, -1) AS popularity, mean_score, average_score, format, episodes, CASE WHEN year > 0 THEN year * 10000 + 701 END AS s FROM anilist_client WHERE anilist_id IS NOT NULL),
+      x(era, a, b, m) AS (VALUES {eras}),
+      o AS (SELECT e.*, era, row_number() OVER (PARTITION BY era ORDER BY popularity DESC, anilist_id) AS nth, m FROM e JOIN x ON s > a AND s < b),
+      p AS (SELECT e.*, {len(store.ERAS)} AS era, row_number() OVER (ORDER BY popularity DESC, anilist_id) AS nth, {top} AS m FROM e),
+      u AS (SELECT * FROM o WHERE nth <= m UNION ALL SELECT * FROM p WHERE nth <= m),
+      r AS (SELECT CAST(era * 100000 + nth AS INTEGER) AS place, anilist_id, coalesce(nullif(year, 0), CASE WHEN era < {len(store.ERAS)} THEN 2000 ELSE 2020 END) AS year, coalesce(format, 'TV') AS format, coalesce(episodes, 12) AS episodes,
+        coalesce(mean_score, average_score, 75.0) AS mean_score, coalesce(average_score, 75.0) AS average_score FROM u QUALIFY row_number() OVER (PARTITION BY anilist_id ORDER BY era, nth) = 1)"""
+    sql["era_catalogue"] = f"{era_sql} SELECT * FROM r"
+    sql["popular_entries"] = f"{era_sql} SELECT place, anilist_id, year FROM r ORDER BY place LIMIT 100"
+    sql["title_aliases"] = """WITH t AS (SELECT DISTINCT work_id AS q_id, title AS query FROM anime_metadata WHERE title IS NOT NULL), a AS (SELECT DISTINCT canonical, alias FROM (SELECT title_native AS canonical, unnest(synonyms) AS alias FROM anilist_client WHERE title_native IS NOT NULL) WHERE trim(alias, ' ') <> ''),
+      g AS (SELECT canonical, alias AS form FROM a UNION SELECT canonical, canonical FROM a) SELECT q_id, query FROM t UNION SELECT t.q_id, g2.form FROM t JOIN g g1 ON t.query = g1.form JOIN g g2 ON g2.canonical = g1.canonical"""
+    sql["united_names"] = f"""WITH c AS ({flat}), f AS (SELECT work_id, name, min(struct_pack(e := ep_pos, p := pos)) AS o FROM c WHERE role = 'genga' GROUP BY work_id, name),
+      w AS (SELECT DISTINCT work_id FROM c WHERE role = 'genga') SELECT w.work_id, coalesce(string_agg(name, '|' ORDER BY o, name), '') AS names FROM w LEFT JOIN f ON f.work_id = w.work_id AND length(name) >= 2 GROUP BY w.work_id"""
     # texts
     white = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
     quote = lambda t: "'" + t.replace("'", "''") + "'"

@@ -13,7 +13,7 @@ from orizuru.operators import bias, era, export, history, matching, model, neste
 from orizuru.plans import oracles, snapshot
 from orizuru.plans.snapshot import bias_and_era, scored_works
 from orizuru.session import table
-from orizuru.sources import adapters, wiki
+from orizuru.sources import adapters, store, wiki
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -567,6 +567,38 @@ def split_names(spark, d):
     return t.select("page_id", F.posexplode(wiki.split_value(F.col("title"))).alias("pos", "name"))
 
 
+def _entries(spark, d):
+    e = table(spark, d, "anilist_client").select("anilist_id", "year", "popularity", "mean_score", "average_score", "format", "episodes").distinct()
+    return e.withColumn("start_date", F.when(F.col("year") > 0, F.col("year") * 10_000 + 701))
+
+
+@query
+def era_catalogue(spark, d):
+    return store.era_catalogue(_entries(spark, d))
+
+
+@query
+def popular_entries(spark, d):
+    return store.popular_entries(_entries(spark, d), 100).select("place", "anilist_id", "year")
+
+
+@query
+def title_aliases(spark, d):
+    """Titles of works with all other names of the catalogue's entries that bear them."""
+    t = table(spark, d, "anime_metadata").where("title is not null").select(F.col("work_id").alias("q_id"), F.col("title").alias("query")).distinct()
+    e = table(spark, d, "anilist_client").where("title_native is not null").select(F.col("title_native").alias("canonical"), F.explode("synonyms").alias("alias")).where("trim(alias) <> ''").distinct()
+    return matching.with_aliases(t, e)
+
+
+@query
+def united_names(spark, d):
+    """Key animators of a work and of its episodes in one list, each where it comes first, two letters at least."""
+    c = nested.flatten_credits(table(spark, d, "anime_metadata")).where("role = 'genga'").select("work_id", "ep_pos", "pos", "name").distinct()
+    lists = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ep_pos", "pos", "name")))), lambda e: e["name"])
+    both = c.groupBy("work_id").agg(lists(F.col("ep_pos") == 0).alias("own"), lists(F.col("ep_pos") > 0).alias("eps"))
+    return both.select("work_id", F.array_join(wiki.union_names("own", "eps"), "|").alias("names"))
+
+
 @query
 def animator_participation(spark, d):
     c = adapters.credits(spark, d).where("role = 'genga'")

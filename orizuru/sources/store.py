@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 RATINGS_SCHEMA = "user_id BIGINT, item_id STRING, score DOUBLE"
 
@@ -95,3 +99,71 @@ def links(pages: DataFrame, prefix: str, stop: tuple[str, ...] = ()) -> DataFram
     rows = rows.select("page_ord", "pos", F.regexp_extract("a", r'href="([^"]+)"', 1).alias("url"), F.trim(F.regexp_extract("a", r">([^<]+)<", 1)).alias("title"))
     rows = rows.where(F.col("url").startswith(prefix) & (F.col("title") != "") & ~F.col("title").isin(*stop, ""))
     return rows.groupBy("url").agg(F.min_by("title", F.struct("page_ord", "pos")).alias("title"))
+
+
+#: Eras of the catalogue (first and last start date, pages of each), pages of all times, and defaults.
+ERAS = ((19500101, 19691231, 3), (19700101, 19791231, 4), (19800101, 19891231, 6), (19900101, 19991231, 6), (20000101, 20091231, 6), (20100101, 20191231, 8), (20200101, 20261231, 8))
+POPULAR_PAGES, PER_PAGE = 5, 50
+ERA_YEAR, POPULAR_YEAR, NO_SCORE, NO_FORMAT, NO_EPISODES = 2000, 2020, 75.0, "TV", 12
+
+
+def era_catalogue(entries: DataFrame) -> DataFrame:
+    """The most popular entries of each era, page by page, then those of all times; each entry once, where it comes
+    first. entries (anilist_id, year, start_date, popularity, mean_score, average_score, format, episodes, ...) ->
+    place, anilist_id, year and scores with their defaults. Entries without a date are found among those of all times."""
+    known = entries.where("anilist_id is not null").withColumn("popularity", F.coalesce("popularity", F.lit(-1)))
+    era = F.when(F.lit(False), -1)
+    for k, (first, last, _) in enumerate(ERAS):
+        era = era.when((F.col("start_date") > first) & (F.col("start_date") < last), k)
+    pages = F.element_at(F.array(*[F.lit(p * PER_PAGE) for *_, p in ERAS]), F.col("era") + 1)
+    order = W.partitionBy("era").orderBy(F.col("popularity").desc(), "anilist_id")
+    most = max(p for *_, p in ERAS) * PER_PAGE
+    of_era = known.withColumn("era", era).where("era is not null").withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).where(F.col("at") <= pages)
+    top = known.orderBy(F.col("popularity").desc(), "anilist_id").limit(POPULAR_PAGES * PER_PAGE)
+    all_times = top.withColumn("era", F.lit(len(ERAS))).withColumn("at", F.row_number().over(W.orderBy(F.col("popularity").desc(), "anilist_id")))  # over the limit's rows
+    rows = of_era.unionByName(all_times)
+    fallback = F.when(F.col("era") < len(ERAS), ERA_YEAR).otherwise(POPULAR_YEAR)
+    made = rows.select(
+        (F.col("era") * 100_000 + F.col("at")).alias("place"), "anilist_id", F.coalesce(F.nullif(F.col("year"), F.lit(0)), fallback).alias("year"), F.coalesce("format", F.lit(NO_FORMAT)).alias("format"),
+        F.coalesce("episodes", F.lit(NO_EPISODES)).alias("episodes"), F.coalesce("mean_score", "average_score", F.lit(NO_SCORE)).alias("mean_score"), F.coalesce("average_score", F.lit(NO_SCORE)).alias("average_score"),
+    )
+    return made.groupBy("anilist_id").agg(F.min_by(F.struct(*[c for c in made.columns if c != "anilist_id"]), "place").alias("r")).select("r.place", "anilist_id", *[f"r.{c}" for c in made.columns[2:]])
+
+
+def popular_entries(entries: DataFrame, n: int = 150) -> DataFrame:
+    """The first n of `era_catalogue`."""
+    return era_catalogue(entries).orderBy("place").limit(n)
+
+
+def fresh_results(cached: DataFrame) -> DataFrame:
+    """Cached search results (year: asked for, date: of what was found) without those three years off or more; where
+    either is unknown the result stays."""
+    found = F.when(F.col("date").rlike("^[0-9]{4}"), F.substring("date", 1, 4).cast("int"))
+    return cached.where(F.coalesce((F.coalesce("year", F.lit(0)) == 0) | (F.abs(found - F.col("year")) < 3), F.lit(True)))
+
+
+def persons_of(documents: DataFrame, column: str = "json") -> DataFrame:
+    """Cached lists of persons (subject_id, JSON text) -> (subject_id, ord, name, relation), blank ones left out."""
+    rows = documents.select("subject_id", F.posexplode(F.from_json(column, "array<struct<name:string,relation:string>>")).alias("ord", "p"))
+    return rows.select("subject_id", "ord", F.trim("p.name").alias("name"), F.trim("p.relation").alias("relation")).where("name <> '' and relation <> ''")
+
+
+def ingest(candidates: DataFrame, fetch: Callable[[dict], dict | None], schema: str, tasks: int = 10) -> DataFrame:
+    """What `fetch` brings for each candidate (ord, ...), in `tasks` tasks at a time; a candidate that brings nothing or
+    fails is left out. The rows keep the candidates' `ord`, whichever task is done first; a task that is run again
+    fetches again, so `fetch` should read from its cache."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for row in frame.to_dict("records"):
+                try:
+                    found = fetch(row)
+                except Exception:
+                    found = None
+                if found:
+                    rows.append({"ord": row["ord"]} | found)
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return candidates.repartition(tasks, "ord").mapInPandas(run, schema)

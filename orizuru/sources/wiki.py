@@ -37,7 +37,7 @@ NO_NAME = (
     "effect supervisor animation animator character staff credit original story screenplay script music sound editing editor"
 ).split()
 NO_PERSON = (
-    "スタジオ プロダクション フィルム じゃんぐるじむ わあぷ アニメアール コア ピクチャーズ コミックス 小学館 集英社 講談社 キティ オフィス 工房 グループ アトリエ メカマン ヤマト "
+    "スタジオ プロダクション フィルム じゃんぐるじむ わあぷ アニメアール コア 背景 ピクチャーズ コミックス 小学館 集英社 講談社 キティ オフィス 工房 グループ アトリエ メカマン ヤマト "
     "エンタテインメント ピエロ ぴえろ サンライズ 東映 マッドハウス ボンズ シャフト ガイナックス トリガー ユーフォーテーブル"
 ).split()
 #: Headers that a page gives to the roles.

@@ -354,6 +354,27 @@ def test_store_round_trip(spark, tmp_path):
     assert [(r.anilist_id, r.year, r.studios) for r in store.media_to_entries(spark.createDataFrame(doc, "json string")).collect()] == [(7, 1999, ["S"])]
 
 
+def test_cached_sources(spark):
+    rows = [(1, 1995, "1995-04-01"), (2, 1995, "1999-01-01"), (3, 0, "1999-01-01"), (4, 1995, None), (5, None, "x"), (6, 1995, "1997")]
+    assert {r.i for r in store.fresh_results(spark.createDataFrame(rows, "i int, year int, date string")).collect()} == {1, 3, 4, 5, 6}
+    docs = [(7, '[{"name": " A ", "relation": "导演"}, {"name": "", "relation": "x"}, {"name": "B", "relation": "原画"}]'), (8, None), (9, "broken")]
+    assert [(r.subject_id, r.ord, r["name"]) for r in store.persons_of(spark.createDataFrame(docs, "subject_id int, json string")).collect()] == [(7, 0, "A"), (7, 2, "B")]
+    candidates = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "ord int, title string")
+
+    def fetch(row):
+        if row["ord"] == 3:
+            raise OSError("no answer")
+        return {"title": row["title"].upper()} if row["ord"] % 2 else None
+
+    assert sorted((r.ord, r.title) for r in store.ingest(candidates, fetch, "ord int, title string", 3).collect()) == [(i, f"T{i}") for i in range(1, 20, 2) if i != 3]
+    entries = [(i, 1990 + i % 3 if i % 5 else 0, (1990 + i % 3) * 10000 + 701 if i % 5 else None, 1000 - i, None, None, None, None) for i in range(400)]
+    df = spark.createDataFrame(entries, "anilist_id bigint, year int, start_date int, popularity bigint, mean_score double, average_score double, format string, episodes int")
+    got = {r.anilist_id: r for r in store.era_catalogue(df).collect()}
+    assert got[1].year == 1991 and got[0].year == 2020 and got[0].mean_score == 75.0 and got[0].episodes == 12 and got[1].place < got[0].place
+    assert {i for i in range(250)} <= set(got) and len([i for i in got if i % 5]) == 300
+    assert [r.anilist_id for r in store.popular_entries(df, 3).orderBy("place").collect()] == [1, 2, 3]
+
+
 def test_streamed_sums(spark, tmp_path):
     from orizuru.streaming import ratings as stream
 
