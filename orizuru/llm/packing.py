@@ -133,10 +133,13 @@ def evolve(sizes: np.ndarray, seeds: list[Bins], capacity: int, seed: int, gener
     population = [*seeds]
     if not population:
         population = [best_fit(sizes, falling, [], capacity), slack_fill(sizes, capacity, rng)]
+    least = -(-int(sizes.sum()) // capacity)
+    few = min(population, key=len)
+    if len(few) <= least:
+        return few  # no packing needs fewer bins
     while len(population) < POPULATION:
         population.append(mutate(sizes, population[int(rng.integers(len(population)))], capacity, rng))
     scored = sorted(((fitness(sizes, p, capacity), k, p) for k, p in enumerate(population)), key=lambda x: (-x[0], x[1]))
-    least = -(-int(sizes.sum()) // capacity)
     for g in range(generations):
         if len(scored[0][2]) <= least:
             break  # no packing needs fewer bins
@@ -151,8 +154,10 @@ def evolve(sizes: np.ndarray, seeds: list[Bins], capacity: int, seed: int, gener
 _ROWS = "shard bigint, island int, doc_id bigint, piece int, size int, bin int, visitor int"
 
 
-def _bins_of(rows: pd.DataFrame, place: dict) -> Bins:
-    return [[place[x] for x in zip(g["doc_id"], g["piece"])] for _, g in rows.groupby("bin", sort=True)]
+def _bins_of(bins: np.ndarray) -> Bins:
+    """Places by bin."""
+    order = np.argsort(bins, kind="stable")
+    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bins[order])) + 1)] if len(bins) else []
 
 
 def _island(capacity: int, epoch: int, generations: int):
@@ -160,11 +165,10 @@ def _island(capacity: int, epoch: int, generations: int):
         own = rows[rows["visitor"] == 0].sort_values(["doc_id", "piece"], kind="stable")
         shard, island = int(own["shard"].iloc[0]), int(own["island"].iloc[0])
         sizes = own["size"].to_numpy(np.int64)
-        keys = list(zip(own["doc_id"], own["piece"]))
-        place = {k: i for i, k in enumerate(keys)}
         seeds = []
-        if epoch:
-            seeds = [_bins_of(own, place), _bins_of(rows[rows["visitor"] == 1], place)]
+        if epoch:  # the visitor holds the same items
+            visitor = rows[rows["visitor"] == 1].sort_values(["doc_id", "piece"], kind="stable")
+            seeds = [_bins_of(x["bin"].to_numpy()) for x in (own, visitor)]
         best = evolve(sizes, [s for s in seeds if s], capacity, seed=(shard * 31 + island) * 7 + epoch, generations=generations)
         bin_of = np.zeros(len(sizes), np.int32)
         for k, b in enumerate(best):
