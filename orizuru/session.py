@@ -18,6 +18,7 @@ def build_session(app: str = "orizuru", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     builder = SparkSession.builder.appName(app)
     if master:
@@ -81,3 +82,9 @@ def laid_out(df: DataFrame, *keys: str) -> DataFrame:
         return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the broadcast tables and plans of jobs that are done; they go with a collection of garbage,
+    which a driver of little work puts off until its memory is full."""
+    spark.sparkContext._jvm.System.gc()
