@@ -404,11 +404,13 @@ def repair(df: DataFrame, keys: list[str], column: str, repairer: Repairer) -> D
     return df.select(*keys, F.col(column).alias("text")).mapInArrow(run, schema)
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page titles and credited names as (tab, rec_id, text), flattened once and written to the shared folder."""
-    pages = table(spark, sf_dir, "seesaa_client").select(F.lit("seesaa_client").alias("tab"), F.col("page_id").cast("string").alias("rec_id"), F.col("title").alias("text"))
-    names = flatten_credits(table(spark, sf_dir, "anime_metadata")).select(F.lit("anime_metadata").alias("tab"), F.col("work_id").alias("rec_id"), F.col("name").alias("text"))
-    return cut(pages.unionByName(names).distinct())
+def sources(spark: SparkSession, sf_dir: str, roles: bool = False) -> DataFrame:
+    """Page titles and credited names as (tab, rec_id, text), flattened once and written to the shared folder; with the
+    role of each name where asked for (null for titles)."""
+    pages = table(spark, sf_dir, "seesaa_client").select(F.lit("seesaa_client").alias("tab"), F.col("page_id").cast("string").alias("rec_id"), F.col("title").alias("text"), F.lit(None).cast("string").alias("role"))
+    names = flatten_credits(table(spark, sf_dir, "anime_metadata")).select(F.lit("anime_metadata").alias("tab"), F.col("work_id").alias("rec_id"), F.col("name").alias("text"), "role")
+    both = pages.unionByName(names)
+    return cut((both if roles else both.drop("role")).distinct())
 
 
 def garbled(texts: DataFrame) -> DataFrame:

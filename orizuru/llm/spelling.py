@@ -133,7 +133,7 @@ class Readings:
         bad = "んゃゅょっー"
         return [(kana[:i], *rest) for i in range(1, min(4, len(kana) - 1) + 1) if kana[i] not in bad for rest in Readings._splits(kana[i:], n - 1)]
 
-    def fit(self, data: list[tuple[str, list[tuple[str, float]]]], rounds: int = 12) -> None:
+    def fit(self, data: list[tuple[str, list[tuple[str, float]]]], rounds: int = 7) -> None:
         """data: kana of a part and the kanji that it may belong to, with weights."""
         cuts: dict[tuple[str, int], list[tuple[str, ...]]] = {}
         for n in range(rounds):
