@@ -415,3 +415,12 @@ def test_model_queries_do_the_whole_job(spark, tables, monkeypatch):
     assert kept["s"].model.getNumTrees == 100 and len(kept["s"].biases["losses"]) == len(fitted["losses"]) > 3
     want = {r.work_id: r.z for r in scored.where("z is not null").collect()}
     assert set(got) == set(want) and all(got[w] == pytest.approx(want[w], abs=1e-9) for w in want)
+
+
+def test_sample_by_hash(spark):
+    from orizuru.session import hashed_sample
+
+    df = spark.range(20_000).selectExpr("id % 15000 as id", "null as x").union(spark.range(9000).selectExpr("7L", "null"))
+    a, b = ([r.id for r in hashed_sample(df.repartition(k), 300).collect()] for k in (2, 7))
+    assert a == b and len(set(a)) == 300
+    assert hashed_sample(df.limit(0), 5).count() == 0 and hashed_sample(df.where("id < 3"), 10).count() == 3
