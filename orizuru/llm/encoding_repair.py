@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from orizuru.llm import charlm
 from orizuru.operators.nested import flatten_credits
-from orizuru.session import cut, table
+from orizuru.session import cut, hashed_sample, table
 
 #: Encodings that Japanese texts are written in, and those they are wrongly read with.
 RIGHT = ("utf-8", "cp932", "euc_jp")
@@ -381,7 +381,7 @@ def train(texts: DataFrame, column: str = "text") -> Repairer:
     costs = {c: -float(np.log(n / sum(by_chain))) for c, n in zip(CHAINS, by_chain)}
     ratio = max(1.0, said.get(len(CHAINS), 0) / sum(by_chain))
     repairer = Repairer(charlm.CharModel(counts.less(charlm.collect(gone.where("bucket >= 0")))), costs=costs)
-    sample = [r[0] for r in possible.where("text rlike '[^\\\\x00-\\\\x7f]'").orderBy(F.xxhash64("text"), "text").limit(VALIDATION_ROWS).collect()]
+    sample = [r[0] for r in hashed_sample(possible.where("text rlike '[^\\\\x00-\\\\x7f]'"), VALIDATION_ROWS).collect()]
     repairer.validate(sample, ratio)
     return repairer
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orizuru.session import spread
+from orizuru.session import hashed_sample, spread
 
 LABELS = ("none", "email", "phone", "id_number", "address", "name")
 FORMS = ("email", "number", "address", "name")
@@ -400,7 +400,7 @@ def evidence(doc: np.ndarray, form: np.ndarray, known: np.ndarray, contexts: np.
 
 def train(documents: DataFrame) -> Field:
     """Fit the field on a bounded sample of the different texts."""
-    sample = documents.where("text is not null and length(text) > 20").select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS).repartition(24, F.xxhash64("text"))
+    sample = hashed_sample(documents.where("length(text) > 20").select("text"), TRAIN_DOCS).repartition(24, F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
