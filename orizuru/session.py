@@ -6,6 +6,8 @@ import os
 import pathlib
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +99,18 @@ def hashed_sample(df: DataFrame, n: int) -> DataFrame:
     h, share = F.xxhash64(*df.columns), min(1.0, 4.0 * n / max(1, df.count()))
     some = df.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else df
     return some.distinct().orderBy(h, *df.columns).limit(n)
+
+
+@contextmanager
+def sorted_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins of the jobs run inside are sorted, not broadcast, unless told to: every broadcast table takes pages of the
+    driver's memory, however small it is, and a query of a hundred small joins fills it."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        yield
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
