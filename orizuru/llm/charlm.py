@@ -3,7 +3,8 @@
 Counting is distributed: each task counts into hashed buckets, the buckets are summed by one aggregation, and at most
 `MOST_PAIRS + POINTS` rows reach the driver, whatever the corpus. The table of pairs is then folded to the smallest
 power of two of which at most `LOAD` is used, so that collisions stay rare while a small corpus has a small model;
-the largest, of 16 MB, is the bound of what is broadcast. `CharModel.load` tells how full it is.
+the largest, of 24 MB, is the bound of what is broadcast. A bucket knows
+by which code its pair begins, so that an unseen pair isn't taken for the one in its bucket. `CharModel.load` tells how full it is.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_PAIRS, MOST_PAIRS = 1 << 16, 1 << 22
-LOAD = 0.25
+LOAD = 0.05
 POINTS = 1 << 16
 EDGE = 2  # stands before and after each text
 
@@ -82,7 +83,9 @@ class CharModel:
         size, some = MOST_PAIRS, at[n > 0]
         while size > LEAST_PAIRS and len(np.unique(some & (size // 2 - 1))) <= LOAD * size / 2:
             size //= 2  # a bucket of the half table holds two of the whole one
-        self.pairs = np.bincount(at & (size - 1), n, size).astype(np.float32)
+        order = np.argsort(n, kind="stable")  # where pairs share a bucket, the most frequent one has it
+        self.pairs, self.begin = np.zeros(size, np.float32), np.zeros(size, np.uint16)
+        self.pairs[at[order] & (size - 1)], self.begin[at[order] & (size - 1)] = n[order], counts.begin[pair][order]
         self.load = np.count_nonzero(self.pairs) / size
         self.points = np.zeros(POINTS, np.float32)
         self.points[counts.at[~pair] - MOST_PAIRS] = np.maximum(counts.n[~pair] - 1, 0)
@@ -94,7 +97,9 @@ class CharModel:
     def steps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Log probability of each code of `b` after that of `a`; all codes from POINTS on share one place."""
         a, b = np.minimum(a, POINTS - 1), np.minimum(b, POINTS - 1)
-        return np.log(self.pairs[_pair(a, b, len(self.pairs))] + self.own[a] * self._low[b]) - self._before[a]
+        at = _pair(a, b, len(self.pairs))
+        seen = np.where(self.begin[at] == a, self.pairs[at], np.float32(0))  # an unseen pair may fall into a used bucket
+        return np.log(seen + self.own[a] * self._low[b]) - self._before[a]
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of each code after the first, given the one before."""
