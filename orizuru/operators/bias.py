@@ -25,28 +25,33 @@ def residuals(ratings: DataFrame) -> tuple[DataFrame, float, int]:
     return pairs, head["mean"], head.n
 
 
-def _laid(pairs: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
-    """The pairs laid out by (key, salt), and the hot keys with their number of salts. A key with more pairs than a
-    partition should hold is salted by the other side; there are at most as many such keys as partitions."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = F.broadcast(pairs.agg(F.count("*").alias("all")))  # one row
-    hot = pairs.groupBy(key).agg(F.count("*").alias("c")).join(total).where(F.col("c") * parts > F.col("all"))
-    hot = cut(hot.select(key, F.lit(parts).alias("salts")))
-    salt = F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")
-    return laid_out(pairs.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("salts"), key, "salt"), hot
-
-
-def _step(laid: DataFrame, hot: DataFrame, known: DataFrame | None, key: str, other: str, regular: float) -> DataFrame:
-    """New biases of `key`; `laid` holds the pairs by `other` (and salt, for the `hot` ones), so that the
-    biases come to them and no pair moves."""
+def _laid(pairs: DataFrame, key: str, other: str, n: int) -> tuple[DataFrame, list]:
+    """The pairs laid out by `key`, and the hot keys, which are salted by the other side: those with more pairs than a
+    partition's share of all n ratings, so at most as many as there are partitions."""
+    parts = _parts(pairs)
+    hot = [r[0] for r in pairs.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") * parts > n).select(key).collect()]
+    if not hot:
+        return laid_out(pairs, key), hot
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(other), F.lit(parts))).otherwise(0).cast("int")
+    return laid_out(pairs.withColumn("salt", salt), key, "salt"), hot
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _step(laid: DataFrame, hot: list, known: DataFrame | None, key: str, other: str, regular: float) -> DataFrame:
+    """New biases of `key`; `laid` holds the pairs by `other` (and salt, where some are `hot`), so that the biases come
+    to them and no pair moves."""
     b = "b_u" if key == "user_id" else "b_i"
     if known is None:
         part = laid.withColumn("d", F.col("s"))
     else:
-        old = "b_i" if b == "b_u" else "b_u"
-        salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
-        salted = known.join(F.broadcast(hot), other, "left").select(other, old, salts)
-        part = laid.join(salted, [other, "salt"]).withColumn("d", F.col("s") - F.col("n") * F.col(old))
+        old, keys = "b_i" if b == "b_u" else "b_u", [other]
+        if hot:
+            last = F.when(F.col(other).isin(hot), _parts(laid) - 1).otherwise(0)
+            known, keys = known.select(other, old, F.explode(F.sequence(F.lit(0), last)).alias("salt")), [other, "salt"]
+        part = laid.join(known, keys).withColumn("d", F.col("s") - F.col("n") * F.col(old))
     return part.groupBy(key).agg((F.sum("d") / (F.sum("n") + F.lit(float(regular)))).alias(b))
 
 
@@ -64,7 +69,7 @@ def fit(ratings: DataFrame, max_iter: int = 40, tol: float | None = 1e-5, lambda
     which reads both biases, and every `ROUNDS_A_CUT` rounds where it isn't."""
     pairs, mean, n = residuals(ratings)
     pairs = cut(pairs)
-    by_user, by_item = _laid(pairs, "user_id", "item_id"), _laid(pairs, "item_id", "user_id")
+    by_user, by_item = _laid(pairs, "user_id", "item_id", n), _laid(pairs, "item_id", "user_id", n)
     items, losses = None, []
     for k in range(max_iter):
         last = k == max_iter - 1
