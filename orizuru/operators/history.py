@@ -49,12 +49,12 @@ def _genga(mine: Column) -> list[Column]:
     s = F.col("sum_z") / (F.col("n") + PSEUDO_COUNT["genga"])
     w = F.when(mine, _weight())
     return [
-        (F.sum(w * s) / F.sum(w)).alias("genga_weighted_s"),
+        (exact_sum(w * s) / exact_sum(w)).alias("genga_weighted_s"),
         F.avg(F.when(mine, (s > TOP_TALENT).cast("double"))).alias("genga_top_density"),
         F.max(F.when(mine, s)).alias("genga_max_s"),
         F.sum(F.when(mine, 1.0)).alias("genga_total_count"),
         F.avg(F.when(mine, (F.col("n") > 0).cast("double"))).alias("genga_experienced_ratio"),
-        F.sum(w).alias("genga_sum_weights"),
+        exact_sum(w).alias("genga_sum_weights"),
     ]
 
 

@@ -71,8 +71,8 @@ hist AS (SELECT name, year, z FROM pw JOIN works USING (work_id)),
 spans AS (SELECT DISTINCT name, year FROM hist),
 past AS (SELECT s.name, s.year, count(h.z) AS n, coalesce(CAST(sum(CAST(h.z AS DECIMAL(20,9))) AS DOUBLE), 0.0) AS sum_z, max(h.z) AS max_z FROM spans s LEFT JOIN hist h ON h.name = s.name AND h.year < s.year GROUP BY s.name, s.year),
 cp AS (SELECT c.*, w.year, p.n, p.sum_z, p.max_z FROM credits c JOIN works w USING (work_id) JOIN past p ON p.name = c.name AND p.year = w.year)"""
-GENGA = """gf AS (SELECT work_id, sum(w * s) / sum(w) AS genga_weighted_s, avg(CASE WHEN s > 0.4 THEN 1.0 ELSE 0.0 END) AS genga_top_density, max(s) AS genga_max_s,
-  CAST(count(*) AS DOUBLE) AS genga_total_count, avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END) AS genga_experienced_ratio, sum(w) AS genga_sum_weights
+GENGA = f"""gf AS (SELECT work_id, {xsum('w * s')} / {xsum('w')} AS genga_weighted_s, avg(CASE WHEN s > 0.4 THEN 1.0 ELSE 0.0 END) AS genga_top_density, max(s) AS genga_max_s,
+  CAST(count(*) AS DOUBLE) AS genga_total_count, avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END) AS genga_experienced_ratio, {xsum('w')} AS genga_sum_weights
   FROM (SELECT work_id, greatest(0.01, least(1.0, ep_ratio)) AS w, sum_z / (n + 6.0) AS s, n FROM cp WHERE role = 'genga') GROUP BY work_id)"""
 ROLE = f"""rf AS (SELECT work_id, role, CASE WHEN sum(n) > 0 THEN {xsum('sum_z')} / (sum(n) + {m_of('role')}) ELSE 0.0 END AS bayesian_s, CASE WHEN sum(n) > 0 THEN {xsum('sum_z')} / sum(n) ELSE 0.0 END AS mean_z,
   coalesce(max(max_z), 0.0) AS max_z, CAST(sum(n) AS DOUBLE) AS past_count FROM cp WHERE role NOT IN ('genga', 'studio') GROUP BY work_id, role)"""
