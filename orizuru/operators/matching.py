@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orizuru.functions import text
+from orizuru.session import cut
 
 #: Relations of the outer source and the role they stand for.
 RELATION_ROLES = {
@@ -61,28 +65,130 @@ def similarity(a: str, b: str, least: float = 0.0) -> float:
     return 0.5 * ratio + 0.3 * ratio + 0.2 * partial
 
 
-_similarity = F.udf(lambda a, b, least: None if a is None or b is None else similarity(a, b, least), T.DoubleType(), useArrow=True)
-
-
-def best_titles(queries: DataFrame, titles: DataFrame, threshold: float = 70.0, gram: int = 2) -> DataFrame:
+BLOCK, BLOCK_TITLES = 4096, 8192  # forms that meet at once
+BUCKETS = 256
+ROWS = 256  # queries of a block scored at once
+
+
+def _least_common(la: int, lb: np.ndarray, threshold: float) -> np.ndarray:
+    """The fewest common letters in order with which titles of lengths `la` and `lb` can reach the threshold; beyond both
+    lengths where they can't. A best window holds no more of them than the titles do."""
+    short, long_ = np.minimum(la, lb), np.maximum(la, lb)
+    m = np.arange(1, int(short.max(initial=0)) + 1)[:, None]
+    enough = 160.0 * m / (la + lb) + 40.0 * m / (short + m) >= threshold - 1e-6
+    enough |= (m == short) & (short > 0.6 * long_) & (90.0 + 10.0 * short / long_ >= threshold)  # one title within the other
+    return np.where((enough & (m <= short)).any(axis=0), enough.argmax(axis=0) + 1, la + lb + 1)
+
+
+class _Forms:
+    """Title forms as code points, with how many letters of each fall into each bucket: a letter counts apart the second
+    time, the third time and so on, so that two forms have at most as many letters in common as their products add up to."""
+
+    def __init__(self, forms: list[str]):
+        self.forms, self.size = forms, np.array([len(f) for f in forms])
+        self.codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.row = np.repeat(np.arange(len(forms)), self.size)
+        self.start = np.cumsum(self.size) - self.size
+        order = np.argsort(self.row << 32 | self.codes, kind="stable")
+        key = (self.row << 32 | self.codes)[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        turn = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        token = (self.codes[order] * 0x9E3779B1 + turn * 0x85EBCA77 >> 7) % BUCKETS
+        self.counts = np.bincount(self.row[order] * BUCKETS + token, minlength=len(forms) * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
+
+
+def _letters(q: _Forms, t: _Forms) -> tuple[np.ndarray, np.ndarray, int]:
+    """The codes of both as numbers of their letters, one number more at the end of the second that stands for none."""
+    alphabet, letter = np.unique(np.concatenate([q.codes, t.codes]), return_inverse=True)
+    return letter[: len(q.codes)], np.append(letter[len(q.codes) :], len(alphabet)), len(alphabet) + 1
+
+
+def _common(q: _Forms, at: np.ndarray, t: _Forms, to: np.ndarray, letters: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of the pairs (at, to), bit-parallel; of queries of at most 64 letters."""
+    mine, other, different = letters
+    rows, at = np.unique(at, return_inverse=True)
+    masks = np.zeros((len(rows), different), np.uint64)
+    for k, r in enumerate(rows):
+        place = np.arange(q.size[r], dtype=np.uint64)
+        np.bitwise_or.at(masks[k], mine[q.start[r] : q.start[r] + q.size[r]], np.uint64(1) << place)
+    out = np.zeros(len(at), np.int64)
+    for lo in range(0, len(at), 1 << 16):
+        k, j = at[lo : lo + (1 << 16)], to[lo : lo + (1 << 16)]
+        full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - q.size[rows[k]]).astype(np.uint64)
+        s = full.copy()
+        for i in range(int(t.size[j].max())):
+            u = s & masks[k, other[np.where(i < t.size[j], t.start[j] + i, len(other) - 1)]]
+            s = (s + u | s - u) & full
+        out[lo : lo + (1 << 16)] = q.size[rows[k]] - np.bitwise_count(s)
+    return out
+
+
+def best_of_block(queries: list[str], titles: list[str], ids: list[int], threshold: float) -> list[tuple[str, float, int]]:
+    """(query, score, id) of the best title of each query that reaches the threshold, the smallest id among equals. No
+    pair is left out that could: those whose letters, then those whose letters in order, are too few, can't."""
+    q, t = _Forms(queries), _Forms(titles)
+    order, least, letters = np.argsort(q.size, kind="stable"), {}, _letters(q, t)
+    best: dict[int, tuple[float, int]] = {}
+    lengths, of = np.unique(t.size, return_inverse=True)
+    for size in np.unique(q.size).tolist():
+        least[size] = _least_common(size, lengths, threshold)[of]
+    for size in least:
+        same = order[q.size[order] == size]
+        able = np.flatnonzero(least[size] <= size)
+        if not len(able):
+            continue
+        others = t.counts[able].T
+        for lo in range(0, len(same), ROWS):
+            some = same[lo : lo + ROWS]
+            i, j = np.nonzero(q.counts[some] @ others >= least[size][able].astype(np.float32))
+            i, j = some[i], able[j]
+            common = _common(q, i, t, j, letters) if size <= 64 and len(i) else np.minimum(size, t.size[j])
+            keep = common >= least[size][j]
+            i, j, m = i[keep], j[keep], common[keep]
+            short = np.minimum(size, t.size[j])
+            bound = np.where(m == short, 100.0, 160.0 * m / (size + t.size[j]) + 40.0 * m / (short + m))
+            for k in np.lexsort((-bound, i)).tolist():
+                score, tid = best.get(int(i[k]), (threshold, None))
+                if bound[k] < score - 1e-6:
+                    continue
+                new, nid = similarity(queries[i[k]], titles[j[k]], score), ids[j[k]]
+                if new > score or new == score and (tid is None or nid < tid):
+                    best[int(i[k])] = new, nid
+    return [(queries[i], score, tid) for i, (score, tid) in best.items()]
+
+
+def _blocks(forms: DataFrame, n: int, name: str, *columns: str) -> DataFrame:
+    return forms.withColumn(name, F.pmod(F.xxhash64(columns[0]), F.lit(n)).cast("int")).groupBy(name).agg(F.collect_list(F.struct(*columns)).alias(f"{name}s"))
+
+
+def best_titles(queries: DataFrame, titles: DataFrame, threshold: float = 70.0) -> DataFrame:
     """queries (q_id, query) x titles (t_id, title) -> (q_id, t_id, score): the best title of each query, if it
-    reaches the threshold. Equal forms meet as such. Other pairs meet over shared runs of two letters: two such runs, one
-    where the shorter has under seven letters, a shared letter where it has under four; and over lengths that leave the
-    threshold possible."""
+    reaches the threshold. Equal forms meet as such; what has no equal meets all titles, block by block, in arrays. Every
+    pair that can reach the threshold by its letters is scored, so nothing is lost; forms meet once, however often they occur."""
     q = queries.select("q_id", text.title_form(F.col("query")).alias("a")).where("a <> ''")
     t = titles.select("t_id", text.title_form(F.col("title")).alias("b")).where("b <> ''")
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - gram + 1)), lambda i: F.substring(F.col(c), i, gram))))
-    forms = t.groupBy("b").agg(F.min("t_id").alias("t_id"))  # equal forms score alike; the smallest id stands for them
-    near = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b")) >= 0.45
-    least = F.least(F.length("a"), F.length("b"))
-    met = q.select("q_id", "a", grams("a").alias("g")).join(forms.select("b", "t_id", grams("b").alias("g")), "g").where(near)
-    pairs = met.groupBy("q_id", "a", "b", "t_id").agg(F.count("*").alias("shared")).where((F.col("shared") >= 2) | (least < 7)).drop("shared")
-    letters = lambda c: F.explode(F.array_distinct(F.split(c, ""))).alias("g")
-    reach = F.length("b") <= 7  # a title of under four letters and one that the lengths allow beside it
-    short = q.where(F.length("a") <= 7).select("q_id", "a", letters("a")).join(forms.where(reach).select("b", "t_id", letters("b")), "g").where(near & (least < 4)).drop("g")
-    equal = q.join(forms, F.col("a") == F.col("b")).select("q_id", "a", "b", "t_id")
-    scored = pairs.unionByName(short).unionByName(equal).distinct().withColumn("score", _similarity("a", "b", F.lit(threshold))).where(F.col("score") >= threshold)
-    best = scored.groupBy("q_id").agg(F.max_by(F.struct("t_id", "score"), F.struct("score", -F.col("t_id"))).alias("m"))
+    q, forms = cut(q), cut(t.groupBy("b").agg(F.min("t_id").alias("t_id")))  # equal forms score alike; the smallest id stands for them
+    equal = q.join(forms, F.col("a") == F.col("b")).select("q_id", "t_id", F.lit(100.0).alias("score"))
+    asked = cut(q.select("a").distinct().join(forms, F.col("a") == F.col("b"), "left_anti"))
+    n, m, cores = asked.count(), forms.count(), q.sparkSession.sparkContext.defaultParallelism
+    parts = -(-m // BLOCK_TITLES) or 1
+    own = max(-(-n // BLOCK), min(n, -(-3 * cores // parts))) or 1
+    tid = forms.schema["t_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, others in zip(batch.column("qs"), batch.column("ts")):
+                mine, others = mine.values, others.values
+                found = best_of_block(mine.field("a").to_pylist(), others.field("b").to_pylist(), others.field("t_id").to_pylist(), threshold)
+                ids = others.field("t_id").type
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in ((0, pa.string()), (1, pa.float64()), (2, ids))], names=["a", "score", "t_id"])
+
+    left = _blocks(asked, own, "q", "a").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = left.join(_blocks(forms, parts, "t", "b", "t_id"), "t").repartition(max(1, min(own * parts, max(3 * cores, own * parts // 8))), "q", "t")
+    near = met.select("qs", "ts").mapInArrow(run, f"a string, score double, t_id {tid}")
+    near = near.groupBy("a").agg(F.max_by(F.struct("t_id", "score"), F.struct("score", -F.col("t_id"))).alias("m"))
+    best = equal.unionByName(q.join(near, "a").select("q_id", "m.t_id", "m.score"))
+    best = best.groupBy("q_id").agg(F.max_by(F.struct("t_id", "score"), F.struct("score", -F.col("t_id"))).alias("m"))
     return best.select("q_id", "m.t_id", F.floor(F.col("m.score") * 100 + 0.5).alias("score_pct"))
 
 

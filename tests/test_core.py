@@ -242,6 +242,24 @@ def test_candidates_golden(spark):
     assert {r.q_id for r in near.collect()} == want >= {0, 1, 3, 4}
 
 
+def test_titles_lose_no_pair_that_reaches_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    words = ["眠らない", "石橋", "の", "と", "第2期", "abc", "ten", *"あいうえお"]
+    made = [["".join(rng.choice(words, rng.integers(1, 7))) for _ in range(250)] for _ in range(2)]
+    asked, titles = [*made[0], "abxcdyefzg", "い" * 63 + "う", "あ" * 66], [*made[1], "axbcydezfg", "い" * 64, "あ" * 70]
+    got = {a: (round(s, 9), i) for a, s, i in matching.best_of_block(list(dict.fromkeys(asked)), titles, list(range(len(titles))), 70.0)}
+    best = {a: max((matching.similarity(a, b), -i) for i, b in enumerate(titles)) for a in asked}
+    assert got == {a: (round(s, 9), -i) for a, (s, i) in best.items() if s >= 70.0} and len(got) > 50
+    one, other, first = matching._Forms(["abxcdyefzg"]), matching._Forms(["axbcydezfg"]), np.array([0])
+    assert matching._common(one, first, other, first, matching._letters(one, other)).tolist() == [7]
+    # one pair of letters stands side by side in both, ids of equal forms, a title asked for twice
+    q = spark.createDataFrame([(1, "abcdefg"), (2, "Same!"), (3, "same"), (4, ""), (5, None)], "q_id int, query string")
+    t = spark.createDataFrame([(9, "SAME"), (7, "same"), (8, "axbxcxdxeyfg"), (3, None)], "t_id long, title string")
+    rows = {r.q_id: (r.t_id, r.score_pct) for r in matching.best_titles(q, t).collect()}
+    assert rows == {1: (8, int(matching.similarity("abcdefg", "axbxcxdxeyfg") * 100 + 0.5)), 2: (7, 10000), 3: (7, 10000)}
+    assert matching.best_titles(q.limit(0), t).count() == matching.best_titles(q, t.limit(0)).count() == 0
+
+
 def test_relations(spark):
     rows = [(1, 1, "X", "第二原画"), (1, 2, "X", "原画"), (1, 3, "Y", "导演"), (1, 4, "Y", "总导演"), (1, 5, "Z", "其他"), (1, 6, " ", "音乐")]
     out = matching.relation_roles(spark.createDataFrame(rows, "subject_id int, ord int, name string, relation string")).collect()
