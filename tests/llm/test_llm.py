@@ -331,6 +331,17 @@ def test_readings_of_parts_of_any_length():
     assert {len(p) for p in parts} == {1, 2, 3} and readings.read("") is None and readings.read("未") is None
 
 
+def test_readings_are_fitted_on_all_spellings(spark):
+    kanji, kana = [chr(0x4E00 + i) for i in range(3300)], "かきくけこさしすせそたちつてとなにぬねの"
+    say = lambda i: kana[i % 20] + kana[i // 20 % 20] + kana[i // 400]
+    spelled = spark.createDataFrame([(f"s{i}", i, say(i)) for i in range(3300)] + [("x", 0, None)], "s string, key int, kana string")
+    held = [(i, c, 5) for i, c in enumerate(kanji)] + [(7, c, 1) for c in kanji[100:160]]  # one key with many names to choose from
+    readings = names._fit(names._groups(spelled, spark.createDataFrame(held, "key int, part string, w bigint"), "key"))
+    assert all(readings.read(c) == say(i) for i, c in enumerate(kanji))
+    nothing = names._fit(names._groups(spelled.limit(0), spark.createDataFrame(held, "key int, part string, w bigint"), "key"))
+    assert nothing.read("山") is None
+
+
 def test_classes_without_pairs(spark):
     members = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "s string, class string")
     assert {(r.name, r["class"], r.links) for r in names.counted(members).collect()} == {("a", "x", 1), ("b", "x", 1), ("c", "y", 0)}
