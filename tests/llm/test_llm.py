@@ -119,6 +119,24 @@ def test_clean_texts_are_kept(repairer, spark):
     assert {r.rec_id for r in encoding_repair.repair(rows, ["tab", "rec_id"], "text", fixed).collect()} == {"2"}
 
 
+def test_margin_is_validated_on_all_texts(repairer, spark):
+    fixed, texts = repairer
+    rare = [t for t in texts if not t.isascii()]
+    one = fixed.trial(rare)
+    assert one[0] >= 2 * 0.9 * len(rare) and one[1] >= 0.5 * len(rare)
+    parts = sum(fixed.trial(rare[k::3]) for k in range(3))
+    assert (parts == one).all()  # tasks may hold any share of the texts
+    seen = []
+    many = spark.createDataFrame([("高木" + chr(0x4E00 + i),) for i in range(5000)], "text string")
+    choose = encoding_repair.Repairer.choose
+    encoding_repair.Repairer.choose = lambda self, said, ratio: (seen.append(said), choose(self, said, ratio))[1]
+    try:
+        encoding_repair.train(many)
+    finally:
+        encoding_repair.Repairer.choose = choose
+    assert seen[0][0] > 2 * 4000  # clean and disturbed ones of more texts than a sample held
+
+
 def test_long_and_late_garbling(repairer):
     fixed, texts = repairer
     rng = random.Random(8)
