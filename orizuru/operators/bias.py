@@ -51,24 +51,32 @@ def _step(laid: DataFrame, hot: list, known: DataFrame | None, key: str, other:
         if hot:
             last = F.when(F.col(other).isin(hot), _parts(laid) - 1).otherwise(0)
             known, keys = known.select(other, old, F.explode(F.sequence(F.lit(0), last)).alias("salt")), [other, "salt"]
-        part = laid.join(known, keys).withColumn("d", F.col("s") - F.col("n") * F.col(old))
-    return part.groupBy(key).agg((F.sum("d") / (F.sum("n") + F.lit(float(regular)))).alias(b))
+        # the small side is hashed, so that the pairs are sorted in no round
+        part = laid.join(known.select(*keys, old).hint("shuffle_hash"), keys).withColumn("d", F.col("s") - F.col("n") * F.col(old))
+    sums = part.groupBy(key).agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    return sums.select(key, (F.col("d") / (F.col("n") + F.lit(float(regular)))).alias(b), "d", "n")
 
 
-def loss(pairs: DataFrame, users: DataFrame, items: DataFrame, lambda_user: float, lambda_item: float) -> float:
-    b = F.col("b_u") + F.col("b_i")
-    sse = pairs.join(users, "user_id").join(items, "item_id").agg(F.sum(F.col("s2") - 2 * b * F.col("s") + b * b * F.col("n"))).first()[0]
-    return sse + lambda_user * users.agg(F.sum(F.col("b_u") ** 2)).first()[0] + lambda_item * items.agg(F.sum(F.col("b_i") ** 2)).first()[0]
+def _round_loss(squares: float, own: DataFrame, users: DataFrame, items: DataFrame, lambda_user: float, lambda_item: float) -> float:
+    """Square errors and regularisation of the biases of a round, without its pairs: each user's and item's share of it hangs on sums by user (`own`:
+    of n and s) and on those that the item's bias was made of, as d there leaves the users' biases out already."""
+    u, i = F.col("b_u"), F.col("b_i")
+    of_users = users.select("user_id", "b_u").join(own.hint("shuffle_hash"), "user_id").agg(F.sum(u * u * (F.col("n_u") + lambda_user) - 2 * u * F.col("s_u"))).first()[0]
+    return squares + of_users + items.agg(F.sum(i * i * (F.col("n") + lambda_item) - 2 * i * F.col("d"))).first()[0]
 
 
 def fit(ratings: DataFrame, max_iter: int = 40, tol: float | None = 1e-5, lambda_user: float = 10.0, lambda_item: float = 10.0) -> dict:
     """users (user_id, b_u), items (item_id, b_i), mean, losses. Stops once the loss changes by less than `tol`;
     with tol None all `max_iter` rounds run and no loss is computed before the last.
 
-    The pairs are laid out twice, by user and by item, hot ones salted. The lineage is cut after each round where the loss is asked for,
-    which reads both biases, and every `ROUNDS_A_CUT` rounds where it isn't."""
+    The pairs are laid out twice, by user and by item, hot ones salted, and read once each in a round; the loss is taken from the sums by user and
+    by item. The lineage is cut after each round where the loss is asked for, which reads both biases, and every `ROUNDS_A_CUT` rounds where
+    it isn't."""
     pairs, mean, n = residuals(ratings)
     pairs = cut(pairs)
+    own = cut(pairs.groupBy("user_id").agg(F.sum("n").alias("n_u"), F.sum("s").alias("s_u"), F.sum("s2").alias("s2")))
+    squares = own.agg(F.sum("s2")).first()[0]
+    pairs = pairs.drop("s2")
     by_user, by_item = _laid(pairs, "user_id", "item_id", n), _laid(pairs, "item_id", "user_id", n)
     items, losses = None, []
     for k in range(max_iter):
@@ -80,9 +88,10 @@ def fit(ratings: DataFrame, max_iter: int = 40, tol: float | None = 1e-5, lambda
         if tol is not None or last or k % ROUNDS_A_CUT == ROUNDS_A_CUT - 1:
             items = cut(items)
         if tol is not None or last:
-            losses.append(loss(pairs, users, items, lambda_user, lambda_item))
+            losses.append(_round_loss(squares, own, users, items, lambda_user, lambda_item))
         if tol is not None and len(losses) > 1 and abs(losses[-2] - losses[-1]) < tol:
             break
+    users, items = users.select("user_id", "b_u"), items.select("item_id", "b_i")
     return {"users": users, "items": items, "mean": mean, "n": n, "losses": losses}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,8 @@ def _standardised(dated: DataFrame) -> dict:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """Immutable result of a fit; every field is a table in the shared folder or a small model."""
+    """Immutable result of a fit; every field but the credits given is a table in the shared folder or a small model. The
+    records of persons are made when first asked for."""
 
     biases: dict
     stats: DataFrame
@@ -47,7 +49,11 @@ class Snapshot:
     works: DataFrame
     matrix: DataFrame
     model: GBTRegressionModel
-    records: DataFrame
+    credits: DataFrame
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return cut(staff.records(self.credits, self.works))
 
 
 def fit(ratings: DataFrame, works: DataFrame, credits: DataFrame, max_iter: int = 40, trees: int = 100) -> Snapshot:
@@ -64,7 +70,7 @@ def fit(ratings: DataFrame, works: DataFrame, credits: DataFrame, max_iter: int
     era_ = _standardised(dated)
     scored = cut(works.drop("z").join(era_["z"], "work_id", "left"))
     matrix = cut(history.feature_matrix(credits, scored))
-    return Snapshot(fitted, era_["stats"], era_["overall"], scored, matrix, model.fit(matrix, trees=trees), cut(staff.records(credits, scored)))
+    return Snapshot(fitted, era_["stats"], era_["overall"], scored, matrix, model.fit(matrix, trees=trees), credits)
 
 
 def refresh(works: DataFrame, credits: DataFrame, new_works: DataFrame, ratings: DataFrame, new_ratings: DataFrame, folder: str | None = None, **fit_options) -> Snapshot:

@@ -242,6 +242,21 @@ def test_candidates_golden(spark):
     assert {r.q_id for r in near.collect()} == want >= {0, 1, 3, 4}
 
 
+def test_loss_of_a_round_needs_no_pairs(spark, monkeypatch):
+    rows = [*RATINGS, *RATINGS[:3]]
+    seen = []
+    kept = bias._round_loss
+    monkeypatch.setattr(bias, "_round_loss", lambda *a: seen.append((a[2].collect(), a[3].collect())) or kept(*a))
+    got = bias.fit(spark.createDataFrame(rows, "user_id bigint, item_id string, score double"), max_iter=3, tol=1e-12)
+    assert "s2" not in got["users"].columns + got["items"].columns and got["users"].columns == ["user_id", "b_u"]
+    valid = [(u, i, s) for u, i, s in rows if s is not None and not math.isnan(s)]
+    for (users, items), loss in zip(seen, got["losses"]):
+        b_u, b_i = {r.user_id: r.b_u for r in users}, {r.item_id: r.b_i for r in items}
+        errors = sum((s - got["mean"] - b_u[u] - b_i[i]) ** 2 for u, i, s in valid)
+        assert loss == pytest.approx(errors + 10 * sum(b * b for b in b_u.values()) + 10 * sum(b * b for b in b_i.values()), rel=1e-9)
+    assert len(seen) == len(got["losses"]) == 3
+
+
 def test_titles_lose_no_pair_that_reaches_the_threshold(spark):
     rng = np.random.default_rng(3)
     words = ["眠らない", "石橋", "の", "と", "第2期", "abc", "ten", *"あいうえお"]
