@@ -430,6 +430,57 @@ def test_walks_train_and_cluster(spark):
     assert near > far + 0.05
 
 
+def test_walks_are_of_one_size(spark):
+    tokens = {i: sorted({linking.bucket(f"{i}-{k}") for k in range(300)} | {linking.bucket("all")}) for i in range(20)}
+    titles = spark.createDataFrame([(1, i, 0, ["w"], t, 1, 1, 0, 0, 2000, 12, []) for i, t in tokens.items()], linking._TITLES)
+    walks = linking._walks(titles, linking._weights(titles)).collect()
+    assert len(walks) == 20 * linking.RARE_TOKENS and {len(w.next) for w in walks} == {linking.PASSES}
+    assert all(set(w.own) | set(w.next) | {w.over} <= set(tokens[i]) for w in walks for i in tokens if w.over in tokens[i])
+
+
+def test_packed_lists_come_back():
+    import pyarrow as pa
+
+    lists = pa.array([[1, 65535], [], [7], [], [300, 2, 2]], pa.list_(pa.int32()))
+    for part in (lists, lists.slice(1, 3), lists.slice(4), lists.slice(0, 0)):
+        assert linking._lists_of(linking._bytes_of(part)).to_pylist() == part.to_pylist()
+    assert linking._lists_of(linking._bytes_of(lists).slice(2, 3)).to_pylist() == lists.to_pylist()[2:]
+
+
+def test_rounds_meet_each_key_once():
+    for table_rows, name_rows, tables in ((10, 5, 4), (3_000_000, 9_000_000, 20), (600_000, 2_100_000, 17), (0, 0, 8), (2_000_001, 0, 3)):
+        rounds = linking.rounds_of(table_rows, name_rows, tables)
+        assert sorted(t for r in rounds for t in range(r.first, r.last)) == list(range(tables))
+        of = {r.names[1] for r in rounds if r.names[2] > r.names[0]}
+        assert len(of) == 1 and sorted(k for r in rounds for k in range(r.names[0], r.names[2])) == list(range(of.pop()))
+        assert max((r.last - r.first) * table_rows for r in rounds) <= max(linking.ROUND_ROWS, table_rows)
+
+
+def test_matches_leave_little_on_disk_and_hang_on_no_rounds(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("kstnhmrgzdbp") + rng.choice("aiueo") for _ in range(5))
+    entries = [(i, f"{name()} {name()}".title(), None, None, [name().title()], 2000 + i % 20, "TV", 12, [f"Studio {i % 9}"]) for i in range(300)]
+    pages = [(i, e[1], e[5], 12, "{}") for i, e in enumerate(entries)]
+    pages += [(1000 + i, e[1][1] + e[1][0] + e[1][2:], e[5], 12, "{}") for i, e in enumerate(entries[:60])]
+    spark.createDataFrame(pages, "page_id bigint, title string, year int, total_episodes int, staff string").write.parquet(f"{tmp_path}/seesaa_client.parquet")
+    spark.createDataFrame(entries, "anilist_id bigint, title_romaji string, title_english string, title_native string, synonyms array<string>, year int, format string, episodes int, studios array<string>").write.parquet(f"{tmp_path}/anilist_client.parquet")
+    shared = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
+    before = {p for p in shared.rglob("*") if p.is_file()} if shared else set()
+    first = linking.match(spark, str(tmp_path))
+    shared = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    assert sum(p.stat().st_size for p in shared.rglob("*") if p.is_file() and p not in before) < 100_000  # the result alone; all pairs and titles before
+    rows = first.collect()
+    assert sum(r.page_id == r.anilist_id for r in rows) >= 295
+    monkeypatch.setattr(linking, "ROUND_ROWS", 500, raising=False)
+    monkeypatch.setattr(linking, "tables_for", lambda bits: 4)
+    few = linking.match(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(linking, "ROUND_ROWS", 10**9, raising=False)
+    assert sorted(few) == sorted(linking.match(spark, str(tmp_path)).collect()) and few
+
+
 # --- personal data
 def test_candidates_and_places():
     t = "連絡はs.toganoo＠box.invalidまで。電話は(03) 0000-2233です。携帯（07000001893）に。送り先:〒000-7014 霞原府鏡浦市 中央区下三輪七丁目15番地。"
